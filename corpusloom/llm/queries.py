@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grace, mixing, packing, token_output
+from . import ann, grace, mixing, packing, token_output, urls, warc
 from .shared import documents
 
 #: The public vocabulary that operators 1 and 9 encode with.
@@ -21,6 +21,19 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_ids(documents(spark, sf_dir, "doc_id", "text"), vocabulary_path())
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+def op3_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_grace_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.exact_groups(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -34,11 +47,21 @@ def op9_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op6_grace_exact, op7_mix_sources, op9_pack_tiers)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_warc_segments, op3_additive_ann, op5_url_ngrams, op6_grace_exact, op7_mix_sources, op9_pack_tiers)}
 
 #: White space of the contracts, as RE2 writes it.
 _BLANKS = r"[\x20\x09-\x0D]+"
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS rep FROM q)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN rep IS NULL OR rep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN rep <> page_id THEN rep END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM r
+"""
+
 OP6_SQL = rf"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_BLANKS}', ' ', 'g') AS t FROM documents),
 g AS (SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) AS n, t
@@ -59,4 +82,4 @@ r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
-ORACLE_SQL = {"op6_grace_exact": OP6_SQL, "op7_mix_sources": OP7_SQL}
+ORACLE_SQL = {"op2_warc_segments": OP2_SQL, "op6_grace_exact": OP6_SQL, "op7_mix_sources": OP7_SQL}
