@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, grace, mixing, packing, token_output, urls, warc
+from . import ann, grace, mil, mixing, packing, probminhash, token_output, urls, warc
 from .shared import documents
 
 #: The public vocabulary that operators 1 and 9 encode with.
@@ -30,6 +30,10 @@ def op3_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.quality(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -47,7 +51,11 @@ def op9_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_warc_segments, op3_additive_ann, op5_url_ngrams, op6_grace_exact, op7_mix_sources, op9_pack_tiers)}
+def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_classes(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_warc_segments, op3_additive_ann, op4_attention_mil, op5_url_ngrams, op6_grace_exact, op7_mix_sources, op9_pack_tiers, op10_probminhash)}
 
 #: White space of the contracts, as RE2 writes it.
 _BLANKS = r"[\x20\x09-\x0D]+"
