@@ -1,34 +1,49 @@
-"""The pipeline over ``documents``: classify, deduplicate, mix, pack.
+"""The pipeline over ``documents``: classify, deduplicate exactly and nearly, mix, pack.
 
-Each stage reads what the one before it kept, as Parquet in the shared folder.
+Each stage reads what the one before it kept, as Parquet in the shared folder, and all
+but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import queries
-from corpusloom.llm.grace import exact_groups
-from corpusloom.llm.mixing import mixed
-from corpusloom.llm.packing import pack_documents
+from corpusloom.llm import grace, mil, mixing, packing, probminhash, queries
 from corpusloom.llm.shared import scratch
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least the threshold; the network learns from their labels."""
+    return mil.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay of each group of equal texts; a row is known by its id."""
-    kept = exact_groups(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of equal texts."""
+    return grace.kept_rows(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return probminhash.kept_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs)
+    """Each document as often as its source's rate says."""
+    return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, queries.vocabulary_path())
+    """The pieces of all sequences."""
+    return packing.pack_documents(docs, queries.vocabulary_path())
 
 
-STAGES = [("exact dedup", exact), ("mixing", mix), ("packing", pack)]
+STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: A trained classifier and sequence packing are not expressible in SQL.
 ORACLE_SQL = None
@@ -36,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         if k:
             path = scratch(spark, f"stage-{k}")
             docs.write.parquet(path)

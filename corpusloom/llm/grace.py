@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, written
+from .shared import BLANKS, row_type, whole_row, written
 
 #: Bytes of distinct texts that a task folds or compares at once.
 TABLE_BYTES = 48 << 20
@@ -72,18 +72,19 @@ class OpenTable:
             self.slots[at] = k
 
 
-def _fold(limit: int):
-    """A row for each row; the first of each text in a table has the text, and how many rows it stands for."""
+def _fold(limit: int, carry: bool = False):
+    """A row for each row; the first of each text in a table has the text, and how many rows it stands for, and its own whole row."""
 
     def run(batches):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        table, ids = OpenTable(), []
+        table, ids, carried, seen = OpenTable(), [], [], 0
 
         def folded():
-            nonlocal base, table, ids
-            members = [(d, k) for k, own in enumerate(ids) for d in sorted(own, key=_null_last)]
+            nonlocal base, table, ids, carried, seen
+            members = [(d, k, at) for k, own in enumerate(ids) for d, at in sorted(own, key=_null_last_first)]
+            whole = pa.concat_arrays(carried) if carry else None
             counts = [len(own) for own in ids]
             begins = np.cumsum(counts) - counts
             first = np.zeros(len(members), dtype=bool)
@@ -91,34 +92,45 @@ def _fold(limit: int):
             for at in range(0, len(members), 2000):
                 part = members[at : at + 2000]
                 lead = first[at : at + 2000].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([d for d, _ in part], pa.int64()),
-                        pa.array([base + k for _, k in part], pa.int64()),
-                        pa.array(lead),
-                        pa.array([table.hashes[k] if f else None for (_, k), f in zip(part, lead)], pa.int64()),
-                        pa.array([table.texts[k] if f else None for (_, k), f in zip(part, lead)], pa.binary()).cast(pa.string()),
-                        pa.array([counts[k] if f else None for (_, k), f in zip(part, lead)], pa.int64()),
-                    ],
-                    names=["doc_id", "gid", "first", "hash", "text", "rows"],
-                )
+                columns = [
+                    pa.array([d for d, _, _ in part], pa.int64()),
+                    pa.array([base + k for _, k, _ in part], pa.int64()),
+                    pa.array(lead),
+                    pa.array([table.hashes[k] if f else None for (_, k, _), f in zip(part, lead)], pa.int64()),
+                    pa.array([table.texts[k] if f else None for (_, k, _), f in zip(part, lead)], pa.binary()).cast(pa.string()),
+                    pa.array([counts[k] if f else None for (_, k, _), f in zip(part, lead)], pa.int64()),
+                ]
+                if carry:
+                    columns.append(whole.take(pa.array([x if f else None for (_, _, x), f in zip(part, lead)], pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "gid", "first", "hash", "text", "rows", "row"][: len(columns)])
             base += len(table)
-            table, ids = OpenTable(), []
+            table, ids, carried, seen = OpenTable(), [], [], 0
 
         for batch in batches:
-            for d, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+            begun = 0
+            for i, (d, h, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()), 1):
                 k = table.put(h, t)
                 if k == len(ids):
                     ids.append([])
-                ids[k].append(d)
-                if table.bytes > limit:
+                ids[k].append((d, seen))
+                seen += 1
+                if table.bytes > limit or carry and seen >= 200_000:
+                    if carry:
+                        carried.append(batch.column(3).slice(begun, i - begun))
+                        begun = i
                     yield from folded()
+            if carry and begun < batch.num_rows:
+                carried.append(batch.column(3).slice(begun))
         if ids:
             yield from folded()
 
     return run
 
 
+def _null_last_first(member) -> tuple:
+    return _null_last(member[0])
+
+
 def _null_last(d) -> tuple:
     return (d is None, d or 0)
 
@@ -194,12 +206,24 @@ def _decide(limit: int):
     return run
 
 
+def _decisions(docs: DataFrame, table_bytes: int, carry: bool) -> tuple[DataFrame, DataFrame]:
+    text = F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), BLANKS, " ")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), *[whole_row(docs)] * carry)
+    rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text", *["row"] * carry)
+    schema = FOLDED + (f", row {row_type(rows)}" if carry else "")
+    folded = written(rows.mapInArrow(_fold(table_bytes, carry), schema), "folded")
+    firsts = folded.filter("first").select("hash", "text", "doc_id", "gid", "rows").repartition("hash")
+    return folded, written(firsts.mapInArrow(_decide(table_bytes), DECIDED), "decided")
+
+
 def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``, one row for each row of ``docs``."""
-    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), BLANKS, " ")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    folded = written(rows.mapInArrow(_fold(table_bytes), FOLDED), "folded")
-    firsts = folded.filter("first").select("hash", "text", "doc_id", "gid", "rows").repartition("hash")
-    decided = written(firsts.mapInArrow(_decide(table_bytes), DECIDED), "decided")
+    folded, decided = _decisions(docs, table_bytes, False)
     joined = folded.select("doc_id", "gid", "first").join(decided, "gid")
     return joined.select("doc_id", "keep_id", "group_size", (F.col("first") & F.col("wins")).alias("kept"), "text_sha256")
+
+
+def kept_rows(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each text."""
+    folded, decided = _decisions(docs, table_bytes, True)
+    return folded.filter("first").select("gid", "row").join(decided.filter("wins").select("gid"), "gid", "left_semi").select("row.*")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import blocks
+from .shared import row_type, whole_row
 
 PASSAGE = 1024
 SAMPLE = 3000
@@ -208,7 +209,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mo
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: AttentionBag | None = None) -> DataFrame:
     """``docs``' rows whose score is at least ``threshold``, with all their columns."""
     model = model or train(docs, labels)
-    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
-    rows = docs.select(row, docs["text"].cast("string").alias("text"))
-    scored = rows.mapInArrow(_scored(model), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    rows = docs.select(whole_row(docs), docs["text"].cast("string").alias("text"))
+    scored = rows.mapInArrow(_scored(model), f"row {row_type(rows)}, score double")
     return scored.filter(F.col("score") >= threshold).select("row.*")

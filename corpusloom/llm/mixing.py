@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, unit_hash
+from .shared import BLANKS, unit_hash, whole_row
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -59,5 +59,5 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: ``docs``' columns, each document as often as its copies."""
-    plan = mix_plan(docs, **options)
-    return plan.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    plan = mix_plan(docs.select(whole_row(docs), "doc_id", "source", "text"), **options)
+    return plan.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

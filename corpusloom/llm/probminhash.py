@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import blocks
-from .shared import written
+from .shared import whole_row, written
 from .words import mixed, shingles, word_hashes
 
 BANDS, ROWS = 25, 5
@@ -132,12 +132,14 @@ def _verify(similarity: float):
             texts = batch.column("text_a"), batch.column("text_b")
             good = np.zeros(len(a), dtype=bool)
             for i in range(len(a)):
+                both = []
                 for node, column in ((a[i], texts[0]), (b[i], texts[1])):
-                    if node not in held:
-                        if len(held) > 64:
-                            held.pop(next(iter(held)))
-                        held[node] = weighted(word_hashes(column.slice(i, 1))[0])
-                good[i] = probability_jaccard(held[a[i]], held[b[i]]) >= similarity
+                    both.append(held.pop(node, None) or weighted(word_hashes(column.slice(i, 1))[0]))
+                for node, found in zip((a[i], b[i]), both):
+                    held[node] = found  # the latest last
+                while len(held) > 64:
+                    held.pop(next(iter(held)))
+                good[i] = probability_jaccard(*both) >= similarity
             if good.any():
                 keep = pa.array(good)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
@@ -172,7 +174,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = jump.select("node", "label")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, keep_digest: bool = False) -> DataFrame:
     """``doc_id, class_id, class_size, kept``, one row for each row of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
@@ -210,4 +212,17 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     heads = written(classes.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("head")), "heads")
     decided = written(classes.join(heads, "label").select("digest", F.col("doc_id").alias("first_id"), "class_id", "class_size", (F.col("digest") == F.col("head.digest")).alias("leads")), "decided")
     rows_ = signed.select("doc_id", "digest").join(decided, "digest")
-    return rows_.select("doc_id", "class_id", "class_size", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("kept"))
+    return rows_.select("doc_id", "class_id", "class_size", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("kept"), *["digest"] * keep_digest)
+
+
+def kept_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each class its smallest doc_id.
+
+    A row is known by its id and text; rows that repeat both are folded to one.
+    """
+    decided = near_classes(docs, similarity, keep_digest=True)
+    stay = written(decided.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")).distinct(), "kept")
+    keyed = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("digest"))
+    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col("k_id")) & (keyed["digest"] == F.col("k_digest")), "left_semi")
+    repeats = not keyed.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty()
+    return (found.dropDuplicates(["doc_id", "digest"]) if repeats else found).select("row.*")

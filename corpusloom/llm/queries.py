@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, grace, mil, mixing, packing, probminhash, token_output, urls, warc
+from . import ann, chaining, grace, mil, mixing, packing, probminhash, token_output, urls, warc
 from .shared import documents
 
 #: The public vocabulary that operators 1 and 9 encode with.
@@ -47,6 +47,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
+def op8_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), vocabulary_path())
 
@@ -55,7 +59,7 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_classes(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_warc_segments, op3_additive_ann, op4_attention_mil, op5_url_ngrams, op6_grace_exact, op7_mix_sources, op9_pack_tiers, op10_probminhash)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_warc_segments, op3_additive_ann, op4_attention_mil, op5_url_ngrams, op6_grace_exact, op7_mix_sources, op8_chained_passages, op9_pack_tiers, op10_probminhash)}
 
 #: White space of the contracts, as RE2 writes it.
 _BLANKS = r"[\x20\x09-\x0D]+"

@@ -43,3 +43,12 @@ def unit_hash(seed: str, *cols: str) -> Column:
     """A double in [0, 1) from 52 bits of the md5 of the seed and the columns; the same in every engine."""
     text = F.concat_ws(":", F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that names made by an operator cannot clash with them."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("row")
+
+
+def row_type(df: DataFrame) -> str:
+    return df.schema["row"].dataType.simpleString()
