@@ -33,7 +33,7 @@ def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     A file is read by one task, as its lines' places are its order; undecodable bytes are replaced and blank lines passed over.
     """
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     rows = text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).filter(F.trim("line") != "")
     return rows.select("file", F.col("pos").cast("long").alias("pos"), F.from_json("line", schema).alias("r")).select("file", "pos", "r.*")
 
