@@ -239,7 +239,7 @@ def reassembled(origin: str, parts: list[tuple]) -> list[tuple]:
     problem = next((p[5] for p in parts if p[5]), None)
     total = next((p[1] for p in parts if p[1] is not None), None)
     times = sum(p[0] == parts[0][0] for p in parts)
-    if times > 1 and all(len({(p[0], p[4]) for p in parts[k : k + times]}) == 1 for k in range(0, len(parts), times)):
+    if times > 1 and len(parts) % times == 0 and all(len({(p[0], p[4]) for p in parts[k : k + times]}) == 1 for k in range(0, len(parts), times)):
         parts = parts[::times]
     else:
         times = 1
