@@ -446,14 +446,19 @@ def fact_tally(spark, sf_dir):
 _FLAT = "strip_accents(replace(lower({0}), 'ß', 'ss'))"
 
 
+def present_sql(needle: str) -> str:
+    n, hay = _FLAT.format(needle), _FLAT.format("obtenu")
+    return f"CASE WHEN regexp_full_match(replace(replace({n}, ' ', ''), '.', ''), '[0-9]+') THEN regexp_matches({hay}, '(^|[^0-9])' || {n} || '([^0-9]|$)') ELSE contains({hay}, {n}) END"
+
+
 @query(
-    f"""WITH {REPLIES}, s AS (SELECT r.conv_id, r.pos, len(list_filter(attendu, lambda x: contains({_FLAT.format('obtenu')}, {_FLAT.format("rtrim(x, '*')")}))) > 0 AS good, len(list_filter(coalesce(piege, []), lambda x: contains({_FLAT.format('obtenu')}, {_FLAT.format('x')}))) > 0 AS bad
-  FROM replies r JOIN {NEEDLES} USING (id) WHERE id <> 'f4')
+    f"""WITH {REPLIES}, s AS (SELECT r.conv_id, r.pos, len(list_filter(attendu, lambda x: {present_sql("rtrim(x, '*')")})) > 0 AS good, len(list_filter(coalesce(piege, []), lambda x: {present_sql('x')})) > 0 AS bad
+  FROM replies r JOIN {NEEDLES} USING (id))
 SELECT conv_id, pos, CASE WHEN good AND bad THEN 'ambigu' WHEN good THEN 'juste' WHEN bad THEN 'piege' ELSE 'faux' END AS verdict FROM s"""
 )
 def fact_judge(spark, sf_dir):
     plain = F.transform("attendu", lambda x: F.rtrim(x, F.lit("*")))
-    rows = replies(spark, sf_dir).join(F.broadcast(needles(spark).filter("id <> 'f4'")), "id").select("conv_id", "pos", F.col("obtenu").alias("answer"), plain.alias("expected"), F.coalesce("piege", F.array().cast("array<string>")).alias("traps"))
+    rows = replies(spark, sf_dir).join(F.broadcast(needles(spark)), "id").select("conv_id", "pos", F.col("obtenu").alias("answer"), plain.alias("expected"), F.coalesce("piege", F.array().cast("array<string>")).alias("traps"))
     return facts.judged(rows).select("conv_id", "pos", "verdict")
 
 
@@ -656,11 +661,14 @@ def latest_checkpoint(spark, sf_dir):
     return runs.latest(runs.checkpoints(_listing(spark, sf_dir)))
 
 
-@query(f"WITH {LOG} SELECT run, 'checkpoint-' || pas AS name, pas AS step, eval_loss FROM log WHERE eval_loss IS NOT NULL AND pas % 2 = 0 QUALIFY row_number() OVER (PARTITION BY run ORDER BY eval_loss, pas) = 1")
+_ACTIONS = "o AS (SELECT run, step, row_number() OVER (PARTITION BY run, step // 97 ORDER BY step) = 1 AS opens, lead(step) OVER (PARTITION BY run ORDER BY step) AS nxt FROM listed), actions AS (SELECT run, step, CASE WHEN nxt IS NULL THEN NULL WHEN opens THEN 'prune' ELSE 'delete' END AS action FROM o)"
+
+
+@query(f"WITH {_LISTED}, {_ACTIONS} SELECT l.run, 'checkpoint-' || l.pas AS name, l.pas AS step, l.eval_loss FROM log l JOIN actions a ON l.run = a.run AND l.pas = a.step WHERE l.eval_loss IS NOT NULL AND coalesce(a.action, '') <> 'delete' QUALIFY row_number() OVER (PARTITION BY l.run ORDER BY l.eval_loss, l.pas) = 1")
 def by_eval(spark, sf_dir):
-    rows = log(spark, sf_dir)
-    kept = runs.checkpoints(_listing(spark, sf_dir)).filter(F.pmod("step", F.lit(2)) == 0)
-    return runs.by_eval(rows, kept)
+    """Among the checkpoints that retention has left."""
+    left = runs.retention(runs.checkpoints(_listing(spark, sf_dir)).select("run", "step"), 97, keep_all=False).filter("action IS NULL OR action <> 'delete'")
+    return runs.by_eval(log(spark, sf_dir), left)
 
 
 @query(f"WITH {_LISTED} SELECT run, step, row_number() OVER (PARTITION BY run, step // 97 ORDER BY step) = 1 AS opens FROM listed")
@@ -668,7 +676,7 @@ def epoch_saves(spark, sf_dir):
     return runs.epoch_saves(runs.checkpoints(_listing(spark, sf_dir)).select("run", "step"), 97)
 
 
-@query(f"WITH {_LISTED}, o AS (SELECT run, step, row_number() OVER (PARTITION BY run, step // 97 ORDER BY step) = 1 AS opens, lead(step) OVER (PARTITION BY run ORDER BY step) AS nxt FROM listed) SELECT run, step, CASE WHEN nxt IS NULL THEN NULL WHEN opens THEN 'prune' ELSE 'delete' END AS action FROM o")
+@query(f"WITH {_LISTED}, {_ACTIONS} SELECT run, step, action FROM actions")
 def retention_plan(spark, sf_dir):
     return runs.retention(runs.checkpoints(_listing(spark, sf_dir)).select("run", "step"), 97, keep_all=False).select("run", "step", "action")
 
