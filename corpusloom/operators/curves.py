@@ -71,6 +71,12 @@ def curve_table(points: DataFrame, value: str) -> DataFrame:
     return start.select("arm", "epoch", "value").unionByName(own).orderBy("arm", "epoch", "value")
 
 
+def evaluations(log: DataFrame, final_step: int | None = None) -> DataFrame:
+    """``pas, epoque, eval_loss`` of a log's evaluations in order, the one after the final step left out."""
+    rows = log.filter("eval_loss IS NOT NULL")
+    return (rows if final_step is None else rows.filter(F.col("pas") != final_step)).select("pas", "epoque", "eval_loss").orderBy("pas")
+
+
 def with_previous(points: DataFrame, base: DataFrame, columns: list[str]) -> DataFrame:
     """Each point's predecessor on its arm as ``previous_*``, and the base as ``base_*``; the first point's predecessor is the base."""
     order = Window.partitionBy("arm").orderBy("step", "point")

@@ -132,3 +132,33 @@ def first_leak_of_turn(turns: DataFrame, held: DataFrame, least: int = MIN_CONTA
     found = inspected(rows, held.select(F.lit(EVERYTHING).alias("part"), "held_key").distinct(), least).filter("leak IS NOT NULL")
     order = Window.partitionBy("turn_id").orderBy("at")
     return found.withColumn("n", F.row_number().over(order)).filter("n = 1").select("turn_id", "task", "source", "at", "leak")
+
+
+def inspector(keys: list[str], least: int = MIN_CONTAINMENT):
+    """A table function ``inspect(key)`` with a row ``how, held_key`` for each held-out key that a relaxed key leaks.
+
+    For SQL over texts in ``LATERAL`` joins; ``keys`` is a short list that travels with the function.
+    """
+    from pyspark.sql.functions import udtf
+
+    class Inspect:
+        def __init__(self):
+            import ahocorasick
+
+            self.exact = set(keys)
+            self.automaton = ahocorasick.Automaton()
+            for k in keys:
+                if len(k) >= least:
+                    self.automaton.add_word(k, k)
+            self.automaton.make_automaton()
+
+        def eval(self, key: str):
+            if key is None:
+                return
+            if key in self.exact:
+                yield "equal", key
+            if len(self.automaton):
+                for found in sorted({k for _, k in self.automaton.iter(key)} - {key}):
+                    yield "contained", found
+
+    return udtf(Inspect, returnType="how string, held_key string")

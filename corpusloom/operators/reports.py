@@ -102,3 +102,13 @@ def arms(points: DataFrame, against: str = "A", answers: DataFrame | None = None
     pairs = shown.filter(F.col("arm") != against).select("arm", "stem").join(F.broadcast(reference), how="cross")  # one row on one side
     gaps = pairs.join(paired(points, pairs, capability, **options), "stem").select("arm", "low", "high")
     return curves.ranked(shown, against, capability, gaps)
+
+
+def with_facts(points: DataFrame, answers: DataFrame, budget: int) -> DataFrame:
+    """Points with the facts of new answers (``point, id, domaine, note, reponse, complet``) put in and counted; points without new answers stay."""
+    fact = F.struct("id", "domaine", "note", "reponse", "complet")
+    one = answers.groupBy("point").agg(F.array_sort(F.collect_list(fact)).alias("_faits"), F.struct(*(F.count_if(F.col("note") == v).cast("int").alias(v) for v in facts.VERDICTS)).alias("_compte"))
+    joined = points.join(one, "point", "left")
+    kind = {f.name: f.dataType for f in points.schema.fields}
+    new = {"faits": F.coalesce(F.col("_faits").cast(kind["faits"]), "faits"), "faits_compte": F.coalesce(F.col("_compte").cast(kind["faits_compte"]), "faits_compte"), "budget_faits": F.when(F.col("_faits").isNull(), F.col("budget_faits")).otherwise(budget)}
+    return joined.withColumns(new).select(*points.columns)

@@ -84,6 +84,18 @@ def resolved(listing: DataFrame, prefix: str, local: DataFrame | None = None) ->
     return every.orderBy("place", F.desc("run")).limit(1)
 
 
+def resume_named(listing: DataFrame, name: str) -> DataFrame:
+    """``run, name, step`` of a run named by hand, ``run`` or ``run/checkpoint-N``; without its state it cannot be resumed, which raises."""
+    run, _, point = name.strip("/").partition("/")
+    own = checkpoints(listing).filter(F.col("run") == run)
+    chosen = own.filter(F.col("name") == point) if point else latest(own)
+    state = listing.filter(F.col("key").endswith("/" + REQUIRED_TO_RESUME)).select(F.split_part("key", F.lit("/"), F.lit(1)).alias("run"), F.split_part("key", F.lit("/"), F.lit(2)).alias("name"))
+    found = chosen.join(state.distinct(), ["run", "name"], "left_semi").select("run", "name", "step")
+    if found.isEmpty():
+        raise ValueError(f"{name} has no checkpoint with {REQUIRED_TO_RESUME}")
+    return found
+
+
 def start_missing(listing: DataFrame, start: str) -> str | None:
     """Why a start (``base``, an arm, or ``arm@checkpoint-N``) cannot be resolved, or None."""
     if start == "base":

@@ -75,6 +75,25 @@ def answers(spark: SparkSession, directory: str) -> DataFrame:
     return lines(spark, f"{directory.rstrip('/')}/reponses-*.jsonl", HELD_OUT_ANSWER)
 
 
+def turns(spark: SparkSession, path: str) -> DataFrame:
+    """Instruction turns in the file's order, with ``turn_id``."""
+    return lines(spark, path, TURN).withColumnRenamed("pos", "turn_id").drop("file")
+
+
+def flores(spark: SparkSession, path: str) -> DataFrame:
+    """Sentences of one language: ``id, text, pos``."""
+    return lines(spark, path, FLORES).select("id", "text", "pos")
+
+
+def log(spark: SparkSession, path: str) -> DataFrame:
+    """A run's training log."""
+    return lines(spark, path, LOG).drop("file")
+
+
+def trainer_state(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("multiLine", "true").schema(TRAINER_STATE).json(path)
+
+
 def recipe(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").schema(RECIPE).json(path)
 

@@ -133,6 +133,9 @@ def test_checkpoints_by_number(spark):
     assert runs.resolved(keys, "r").count() == 0
     more = keys.unionAll(spark.createDataFrame([("r/checkpoint-2168/trainer_state.json",)], "key string"))
     assert runs.resolved(more, "r").first()["name"] == "checkpoint-2168"
+    assert runs.resume_named(more, "r").first()["step"] == 2168 and runs.resume_named(keys, "r/checkpoint-542").first()["step"] == 542
+    with pytest.raises(ValueError):
+        runs.resume_named(keys, "r")
 
 
 @pytest.mark.parametrize("done,before,total,refused", [(1776, 1965, 1310, True), (1191, 1191, 1310, True), (655, 1310, 1310, False), (655, None, 1310, False), (1310, None, 1310, True)])

@@ -127,3 +127,30 @@ def test_files(spark, tmp_path):
     df = spark.createDataFrame([("source/x.jsonl", hashlib.sha256(raw).hexdigest()), ("gone", "0")], "key string, sha256 string")
     found = files.digests(spark, str(tmp_path / "source")).withColumn("key", F.concat(F.lit("source/"), "key"))
     assert {r["key"]: r["matches"] for r in files.matches(df, found).collect()} == {"source/x.jsonl": True, "gone": None}
+
+
+def test_inspector_is_a_table_function(spark):
+    long = "abcdefghij" * 4
+    spark.udtf.register("inspect_leaks", leaks.inspector([long, "short"]))
+    spark.createDataFrame([(1, "x" + long), (2, "short"), (3, long), (4, None), (5, "shorter")], "i int, k string").createOrReplaceTempView("inspected")
+    got = spark.sql("SELECT i, how, held_key FROM inspected, LATERAL inspect_leaks(k)").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "contained", long), (2, "equal", "short"), (3, "equal", long)]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"split": "val", "variant": "mos_mos", "messages": [{"role": "user", "content": "a"}]}\n')
+    assert [(r["turn_id"], r["messages"][0]["content"], r["task"]) for r in tables.turns(spark, str(tmp_path / "t.jsonl")).collect()] == [(0, "a", None)]
+    (tmp_path / "fr.jsonl").write_text('{"id": 3, "text": "un"}\n{"id": 1, "text": "deux"}\n')
+    assert [(r["id"], r["pos"]) for r in tables.flores(spark, str(tmp_path / "fr.jsonl")).orderBy("pos").collect()] == [(3, 0), (1, 1)]
+    (tmp_path / "log.jsonl").write_bytes(b'{"pas": 1, "loss": 2.0}\n\n{"pas": 2, "eval_loss": 1.5}\n{"pas": 3, "eval_loss": 1.4}\nbroken \xff\n')
+    from corpusloom.operators import curves
+
+    assert [r["pas"] for r in curves.evaluations(tables.log(spark, str(tmp_path / "log.jsonl")), 3).collect()] == [2]
+    (tmp_path / "recipe.json").write_text('{"quoi": "x", "parts": {"moore": {"sources": [{"fichier": "a", "prendre": "tout"}, {"fichier": "b", "prendre": "completer", "tokens": 5}]}}}')
+    sources_ = mixture.recipe_sources(tables.recipe(spark, str(tmp_path / "recipe.json"))).orderBy("pos")
+    assert [(r["path"], r["take"], r["budget"]) for r in mixture.plan(sources_).orderBy("pos").collect()] == [("a", "all", None), ("b", "fill", 5)]
+    (tmp_path / "s.json").write_text('{"global_step": 5}')
+    assert tuple(tables.trainer_state(spark, str(tmp_path / "s.json")).first()) == (5, None)
+    df = spark.range(5).write.parquet(str(tmp_path / "p"))
+    tables.rewritten(spark.read.parquet(str(tmp_path / "p")).filter("id > 2"), str(tmp_path / "p"))
+    assert df is None and spark.read.parquet(str(tmp_path / "p")).count() == 2

@@ -75,3 +75,11 @@ def test_bpc_table(spark, tmp_path):
     assert reports.compare(points.limit(0)) == (2, None)
     with pytest.raises(ValueError):
         reports.keepable(points.filter("point <> 'base'"))
+
+
+def test_facts_are_put_in(spark, tmp_path):
+    points = load(spark, tmp_path, point("base", 2.0), point("checkpoint-5", 1.0))
+    answers = spark.createDataFrame([("checkpoint-5", "f9", "d", "piege", "x", True)], "point string, id string, domaine string, note string, reponse string, complet boolean")
+    got = {r["point"]: r for r in reports.with_facts(points, answers, 64).collect()}
+    assert [f["id"] for f in got["base"]["faits"]] == ["f1", "f2"] and got["base"]["budget_faits"] == 320
+    assert [f["id"] for f in got["checkpoint-5"]["faits"]] == ["f9"] and got["checkpoint-5"]["budget_faits"] == 64 and got["checkpoint-5"]["faits_compte"]["piege"] == 1
