@@ -8,11 +8,13 @@ process ends once its next point is later than every register's.
 
 Candidates.  Texts that are equal are one class beforehand.  Registers are banded; a band
 that few texts share gives all their pairs, one that many share gives each text's pairs
-with two pivots of the band.  Pairs are verified on whole texts with the exact probability
-Jaccard similarity and joined to components by label propagation.  Bands of many texts
-that still fall into several components are then done exactly: every text outside the
-band's largest component is compared with all of the other components.  Texts that are
-connected already need no comparing, so no link between different classes is lost.
+with three pivots: the text that shares most bands with others, and two more.  Pairs are
+verified with the exact probability Jaccard similarity of whole texts and joined to
+components by label propagation.  Bands of many texts that still fall into several
+components are then done exactly: every text outside the band's largest component is
+compared with all texts of other components, a block of the band at a time, in memory;
+no pairs are written.  Texts that are connected already need no comparing, so no link
+between different classes is lost.
 
 Result: a row for each document with its class, which is the smallest doc_id of it.
 
@@ -40,6 +42,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A band of at most so many texts gives all their pairs.
 FEW = 8
+#: Texts of a band that are compared at once.
+BLOCK = 256
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,38 +128,109 @@ def _sign(bands: int, rows: int):
     return run
 
 
+SETS = "node long, elements binary, weights binary"
+
+
+def _sets(batches):
+    """Distinct shingles of each text in ascending order, and their numbers."""
+    for batch in batches:
+        at = 0
+        for _, part in blocks(batch.column("text").cast(pa.large_string()), 2 << 20):
+            hashes, counts = word_hashes(part)
+            found = [weighted(hashes[e - n : e]) for e, n in zip(np.cumsum(counts), counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(part)), pa.array([u.tobytes() for u, _ in found], pa.binary()), pa.array([c.astype(np.int64).tobytes() for _, c in found], pa.binary())], names=["node", "elements", "weights"])
+            at += len(part)
+
+
+def _set(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(elements, np.uint64), np.frombuffer(weights, np.int64)
+
+
 def _verify(similarity: float):
     def run(batches):
-        held: dict[int, tuple] = {}
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            texts = batch.column("text_a"), batch.column("text_b")
-            good = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                both = []
-                for node, column in ((a[i], texts[0]), (b[i], texts[1])):
-                    both.append(held.pop(node, None) or weighted(word_hashes(column.slice(i, 1))[0]))
-                for node, found in zip((a[i], b[i]), both):
-                    held[node] = found  # the latest last
-                while len(held) > 64:
-                    held.pop(next(iter(held)))
-                good[i] = probability_jaccard(*both) >= similarity
-            if good.any():
-                keep = pa.array(good)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            columns = [batch.column(c) for c in ("elements_a", "weights_a", "elements_b", "weights_b")]
+            good = pa.array([probability_jaccard(_set(xe.as_py(), xw.as_py()), _set(ye.as_py(), yw.as_py())) >= similarity for xe, xw, ye, yw in zip(*columns)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar; ``nodes`` (node, doc_id, digest) says which rows have the texts."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    rows = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("n_id"), F.col("digest").alias("n_digest"))
-    texts = docs.join(rows, docs["doc_id"].eqNullSafe(F.col("n_id")) & (docs["digest"] == F.col("n_digest"))).select("node", "text")
-    texts = written(texts, "texts")
-    first = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = first.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(similarity), "a long, b long").distinct()
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar."""
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("elements").alias(f"elements_{s}"), F.col("weights").alias(f"weights_{s}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "elements_a", "weights_a", "elements_b", "weights_b")
+    return both.mapInArrow(_verify(similarity), "a long, b long")
+
+
+class Block:
+    """Some texts of a band, with an index from shingles to those that have them."""
+
+    def __init__(self, labels: list[int], sets: list[tuple[np.ndarray, np.ndarray]], similarity: float):
+        self.labels, self.sets, self.similarity = np.array(labels, dtype=np.int64), sets, similarity
+        owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+        elements, weights = (np.concatenate(x) for x in zip(*sets))
+        order = np.argsort(elements, kind="stable")
+        self.elements, self.owner, self.weights = elements[order], owner[order], weights[order].astype(np.float64)
+        self.totals = np.bincount(owner, weights=weights, minlength=len(sets))
+        self.merged: dict[int, int] = {}
+
+    def top(self, label: int) -> int:
+        while (up := self.merged.get(label, label)) != label:
+            label = up
+        return label
+
+    def bounds(self, one: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """No similarity with ``one`` is above its bound; where all weights are 1 that is the similarity, under the threshold it may be 0."""
+        e, w = one
+        low, high = np.searchsorted(self.elements, e, side="left"), np.searchsorted(self.elements, e, side="right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        of, x, y, many = self.owner[at], np.repeat(w, n).astype(np.float64), self.weights[at], len(self.sets)
+        shared_x, shared_y, total = np.bincount(of, weights=x, minlength=many), np.bincount(of, weights=y, minlength=many), float(w.sum())
+        may = (shared_x >= (self.similarity - 1e-9) * total) & (shared_y >= (self.similarity - 1e-9) * self.totals)
+        keep = may[of]
+        of, x, y = of[keep], x[keep], y[keep]
+        # the sum over j of max(x_j / x_i, y_j / y_i), with one side alone for what both have
+        least = np.maximum(total / x + (self.totals - shared_y)[of] / y, self.totals[of] / y + (total - shared_x)[of] / x)
+        return np.bincount(of, weights=1 / least, minlength=many)
+
+    def links(self, label: int, one: tuple[np.ndarray, np.ndarray]):
+        """Labels that a text of ``label`` connects to, those connected here already left out."""
+        bound = self.bounds(one)
+        near = np.flatnonzero(bound >= self.similarity - 1e-9)
+        for k in near[np.argsort(-bound[near], kind="stable")].tolist():
+            a, b = self.top(label), self.top(int(self.labels[k]))
+            if a != b and probability_jaccard(one, self.sets[k]) >= self.similarity:
+                self.merged[max(a, b)] = min(a, b)
+                yield label, int(self.labels[k])
+
+
+def _blocks(similarity: float):
+    """Rows in order of key, part and outer: those of a block first, then those that are compared with it."""
+
+    def run(batches):
+        at, held, block, found = None, [], None, set()
+        for batch in batches:
+            for key, part, outer, label, elements, weights in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "outer", "label", "elements", "weights"))):
+                if (key, part) != at:
+                    at, held, block = (key, part), [], None
+                if not outer:
+                    held.append((label, _set(elements, weights)))
+                elif held:
+                    block = block or Block([x for x, _ in held], [x for _, x in held], similarity)
+                    found.update(block.links(label, _set(elements, weights)))
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = set()
+        if found:
+            yield _pairs(found)
+
+    return run
+
+
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -180,32 +255,44 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
     signed = written(docs.select("doc_id", "digest", "text").mapInArrow(_sign(bands, rows), "doc_id long, digest binary, keys array<long>"), "signed")
 
+    repeats = not signed.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty()
+
     # a node for each different text
     equal = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     nodes = written(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
     places = nodes.select("node", F.explode("keys").alias("key"))
     crowd = written(places.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1"), "bands")
     members = written(places.join(crowd, "key").select("key", "node", "n", "low", "high"), "members")
+    wanted = members.select("node").distinct()
+    rows_of = written(nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("n_id"), F.col("digest").alias("n_digest")), "wanted")
+    texts = docs.join(rows_of, docs["doc_id"].eqNullSafe(F.col("n_id")) & (docs["digest"] == F.col("n_digest"))).select("node", "text")
+    # rows that repeat an id and its text would be there twice
+    sets = written(texts.mapInArrow(_sets, SETS).dropDuplicates(["node"]) if repeats else texts.mapInArrow(_sets, SETS), "sets")
+
     few = members.filter(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     few = few.select("nodes", F.posexplode("nodes").alias("p", "a")).select("a", F.explode(F.expr("slice(nodes, p + 2, size(nodes))")).alias("b"))
-    pivots = members.filter(F.col("n") > FEW).select("node", F.explode(F.array("low", "high")).alias("pivot")).filter("node <> pivot")
+    many = members.filter(F.col("n") > FEW)
+    central = members.groupBy("node").agg(F.sum("n").alias("c"))
+    hubs = written(many.select("key", "node").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node"))["node"].alias("hub")), "hubs")
+    pivots = many.join(hubs, "key").select("node", F.explode(F.array_distinct(F.array("hub", "low", "high"))).alias("pivot")).filter("node <> pivot")
     pairs = few.unionAll(pivots.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))).distinct()
-    links = written(verified(written(pairs, "pairs"), nodes, docs, similarity), "links")
+    links = written(verified(written(pairs, "pairs"), sets, similarity), "links")
     labels = components(links)
 
     # bands of many texts that fall into several components
-    placed = members.filter(F.col("n") > FEW).select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    placed = written(placed, "placed")
+    placed = written(many.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "placed")
     groups = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
-    split = written(groups.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("top.label").alias("top")), "split")
+    split = written(groups.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("key", "top"), "split")
     if not split.isEmpty():
-        of = placed.join(split, "key")
-        outer = of.filter(F.col("label") != F.col("top")).select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-        other = outer.join(of.select("key", F.col("node").alias("y"), F.col("label").alias("ly")), "key").filter("lx <> ly")
-        more = written(other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(written(pairs, "pairs"), ["a", "b"], "left_anti"), "pairs")
-        found = verified(more, nodes, docs, similarity)
-        links = written(links.unionAll(found), "links")
-        labels = components(links)
+        of = placed.join(split, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+        inner = of.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("outer"), "node", "label")
+        outer = of.filter("label <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("outer"), "node", "label")
+        rows_in = inner.unionAll(outer).join(sets, "node").select("key", "part", "outer", "label", "elements", "weights")
+        ordered = rows_in.repartition("key", "part").sortWithinPartitions("key", "part", "outer")
+        found = written(ordered.mapInArrow(_blocks(similarity), "a long, b long").distinct(), "label-links")
+        joined = components(found).select(F.col("node").alias("label"), F.col("label").alias("final"))
+        labels = labels.join(joined, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("final", "label").alias("label"))
+        labels = written(labels, "labels")
 
     classes = nodes.join(labels, "node", "left").select("digest", "doc_id", "n", F.coalesce("label", "node").alias("label"))
     classes = written(classes, "classes")

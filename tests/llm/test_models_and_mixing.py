@@ -6,7 +6,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, mil, mixing
 
@@ -195,4 +194,3 @@ def test_beam_search_codes():
     sums = ann.decoded(words, books)
     best = ((x[:5, None] - sums[None]) ** 2).sum(2).min(1)
     assert ((x[:5] - ann.decoded(full, books)) ** 2).sum(1) == pytest.approx(best, rel=1e-4)
-    assert F is not None
