@@ -265,7 +265,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     members = written(places.join(crowd, "key").select("key", "node", "n", "low", "high"), "members")
     wanted = members.select("node").distinct()
     rows_of = written(nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("n_id"), F.col("digest").alias("n_digest")), "wanted")
-    texts = docs.join(rows_of, docs["doc_id"].eqNullSafe(F.col("n_id")) & (docs["digest"] == F.col("n_digest"))).select("node", "text")
+    # by a shuffle at every size: what is wanted grows with the texts
+    texts = docs.join(rows_of.hint("merge"), docs["doc_id"].eqNullSafe(F.col("n_id")) & (docs["digest"] == F.col("n_digest"))).select("node", "text")
     # rows that repeat an id and its text would be there twice
     sets = written(texts.mapInArrow(_sets, SETS).dropDuplicates(["node"]) if repeats else texts.mapInArrow(_sets, SETS), "sets")
 
