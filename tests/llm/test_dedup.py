@@ -286,6 +286,27 @@ def test_passages_of_repeated_and_missing_ids(spark):
     assert sorted([str(r["doc_id"]) for r in got] + [str(x) for r in got for x in r["from_ids"]])[0] == "3"
 
 
+@pytest.mark.parametrize(("n", "gap", "other_gap"), [(60, 100, 100), (60, 40, 31), (60, 0, 150), (600, 600, 600)])
+def test_passages_on_both_sides_of_a_gap(spark, n, gap, other_gap):
+    rng = random.Random(gap)
+    one, two = words(rng, n), words(rng, n)
+    rows = [(1, one + words(rng, gap) + two), (2, one + words(rng, other_gap) + two)]
+    got = chaining.repeated_passages(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["similarity"]) for r in got) == [(2, 0, n, 1.0), (2, n + other_gap, 2 * n + other_gap, 1.0)]
+
+
+def test_chains_are_split_where_they_are_least_alike():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        a, b = rng.integers(0, 6, rng.integers(1, 30)), rng.integers(0, 6, rng.integers(1, 30))
+        steps = chaining.edited(a, b)
+        assert steps["own"].sum() == len(a) and steps["other"].sum() == len(b) and steps["same"].sum() == chaining.matches(a.tolist(), b.tolist())
+    same = np.repeat([True, False, True, False, True], [60, 5, 20, 60, 60])  # within one fragment
+    assert chaining._split(chaining._straight(same), 0.8) == [(0, 85), (145, 205)]
+    apart = [(0, 10, 1, 0, 10, 0.8), (13, 23, 2, 0, 10, 0.8)]
+    assert [(e, len(g)) for e, _, g in chaining._whole(apart, 0.8)] == [(10, 1), (23, 1)]
+
+
 def test_crowded_bands_are_done_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(probminhash, "FEW", 2)
     monkeypatch.setattr(probminhash, "BLOCK", 3)
