@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 # The seed, the number of resamples and the level of reported intervals.
 SEED, RESAMPLES, LEVEL = 20260831, 2000, 0.95
+#: Drawn places that are held at once.
+HELD = 1 << 21
 
 
 def bits_per_character(nll: Column, chars: Column) -> Column:
@@ -42,6 +44,17 @@ def python_draws(seed: int, n: int, resamples: int) -> np.ndarray:
     return np.array([[draw(n) for _ in range(n)] for _ in range(resamples)], dtype=np.int64).reshape(resamples, n)
 
 
+def draws_in_parts(seed: int, n: int, resamples: int):
+    """The rows of ``python_draws``, at most ``HELD`` places (or one row) at once."""
+    if n * resamples <= HELD:
+        yield python_draws(seed, n, resamples)
+        return
+    draw, step = random.Random(seed).randrange, max(1, HELD // n)
+    for begin in range(0, resamples, step):
+        rows = min(step, resamples - begin)
+        yield np.fromiter((draw(n) for _ in range(rows * n)), np.int64, rows * n).reshape(rows, n)
+
+
 def bounds(values: np.ndarray, level: float) -> tuple[float, float]:
     """The two order statistics of a percentile interval; values that are not numbers are left out."""
     values = np.sort(values[~np.isnan(values)])
@@ -64,8 +77,8 @@ def bootstrap(nll: np.ndarray, chars: np.ndarray, seed: int = SEED, resamples: i
     n = nll.shape[1]
     if n < 2:
         return float(value), float(value), float(value)
-    picked = python_draws(seed, n, resamples)
-    drawn = [ratios(x[picked].sum(1), c[picked].sum(1)) for x, c in zip(nll, chars)]
+    parts = [[ratios(x[picked].sum(1), c[picked].sum(1)) for x, c in zip(nll, chars)] for picked in draws_in_parts(seed, n, resamples)]
+    drawn = [np.concatenate(side) for side in zip(*parts)]
     return float(value), *bounds(drawn[0] if len(drawn) == 1 else drawn[1] - drawn[0], level)
 
 

@@ -512,14 +512,14 @@ def bootstrap_draws(spark, sf_dir):
 
 @query()
 def bootstrap_intervals(spark, sf_dir):
-    return statistics.intervals(per_text(spark, sf_dir), ["source"], resamples=400)
+    return statistics.intervals(per_text(spark, sf_dir), ["source"])
 
 
 @query()
 def paired_differences(spark, sf_dir):
     rows = per_text(spark, sf_dir)
     after = rows.withColumn("nll", F.col("nll") * (1 + F.pmod("pos", F.lit(7)) / 100))
-    return statistics.differences(rows, after, ["source"], resamples=400)
+    return statistics.differences(rows, after, ["source"])
 
 
 # --- curves ------------------------------------------------------------------------------------------------------------
