@@ -2,9 +2,10 @@
 
 Words are runs of letters, letter numbers and other numbers (``\\p{L}\\p{Nl}\\p{No}``), as
 ``[^\\W\\d_]`` has them; a word character is ``[\\p{L}\\p{N}_]``.  Lower-casing is the JVM's
-plus ``ß`` to ``ss``, which is full case folding for the alphabets at hand.  Text that may
-not be in normal form C, or holds other letters whose folding differs, goes through
-:mod:`corpusloom.functions.unicode` first (``exact=True`` does it here).
+plus ``ß`` to ``ss``, which is full case folding for most letters.  A text with a mark, or
+any character for which that is not known, is normalised and folded in
+:mod:`corpusloom.functions.unicode`; the others never leave the JVM (``exact=False``: none
+does).
 """
 
 from __future__ import annotations
@@ -34,25 +35,36 @@ NOT_WORD_CHARACTER = r"[^\p{L}\p{N}_]"
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
 
 
-def folded(text: Column, exact: bool = False) -> Column:
-    """Case-folded text; ``exact`` normalises to form C and folds every letter."""
-    return unicode.casefold(unicode.nfc(text)) if exact else F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+def _where_odd(text: Column, exactly, otherwise: Column) -> Column:
+    return F.coalesce(exactly(F.when(text.rlike(unicode.odd()), text)), otherwise)
 
 
-def clean(text: Column, exact: bool = False) -> Column:
+def folded(text: Column, exact: bool = True) -> Column:
+    """Case-folded text in normal form C."""
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return _where_odd(text, unicode.folded, plain) if exact else plain
+
+
+def casefolded(text: Column, exact: bool = True) -> Column:
+    """Case-folded text as it stands, whatever its normal form."""
+    plain = folded(text, False)
+    return _where_odd(text, unicode.casefold, plain) if exact else plain
+
+
+def clean(text: Column, exact: bool = True) -> Column:
     """Normal form C, confusables folded, white space collapsed and stripped."""
-    text = unicode.nfc(text) if exact else text
+    text = _where_odd(text, unicode.nfc, text) if exact else text
     return F.trim(F.regexp_replace(F.translate(text, CONFUSABLE, FOLDED), SPACE, " "))
 
 
-def key(text: Column, exact: bool = False) -> Column:
+def key(text: Column, exact: bool = True) -> Column:
     """The relaxed comparison key: case, punctuation and white space erased; digits and underscores stay."""
     return F.regexp_replace(folded(text, exact), NOT_WORD_CHARACTER, "")
 
 
-def words(text: Column, exact: bool = False) -> Column:
+def words(text: Column, exact: bool = True) -> Column:
     """Array of the case-folded words; found on text that is not normalised."""
-    return F.regexp_extract_all(unicode.casefold(text) if exact else folded(text), F.lit(f"({WORD})"))
+    return F.regexp_extract_all(casefolded(text, exact), F.lit(f"({WORD})"))
 
 
 def tokens(text: Column) -> Column:
@@ -60,7 +72,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda x: x != "")
 
 
-def has_unique_letter(text: Column, letters: str = UNIQUE, exact: bool = False) -> Column:
+def has_unique_letter(text: Column, letters: str = UNIQUE, exact: bool = True) -> Column:
     return folded(text, exact).rlike(f"[{letters}]")
 
 
@@ -78,26 +90,26 @@ def lexicon_coverage(text: Column, lexicon: list[str]) -> Column:
     return share_in(words(text), lexicon)
 
 
-def written_in_moore(text: Column, lexicon: list[str] | None = None, coverage: float = COVERAGE, letters: str = UNIQUE, exact: bool = False) -> Column:
+def written_in_moore(text: Column, lexicon: list[str] | None = None, coverage: float = COVERAGE, letters: str = UNIQUE, exact: bool = True) -> Column:
     """A unique letter; else no French and, with a lexicon, enough of its words, or two words at least."""
     found = words(text, exact)
     rest = F.size(found) >= 2 if lexicon is None else share_in(found, lexicon) >= coverage
     return F.when(has_unique_letter(text, letters, exact), True).when(F.size(found) == 0, False).when(share_in(found, FRENCH) >= FRENCH_SHARE, False).otherwise(rest)
 
 
-def outside_alphabet(text: Column, alphabet: list[str] = ALPHABET, exact: bool = False) -> Column:
+def outside_alphabet(text: Column, alphabet: list[str] = ALPHABET, exact: bool = True) -> Column:
     """Sorted array of the distinct letters that are not in ``alphabet``."""
     letters = F.array_distinct(F.filter(F.split(folded(text, exact), ""), lambda c: c.rlike(r"^\p{L}$")))
     return F.array_sort(F.array_except(letters, F.array(*map(F.lit, alphabet))))
 
 
-def foreign_letters(text: Column, alphabet: list[str] = ALPHABET, borrowed: str = BORROWED, exact: bool = False) -> Column:
+def foreign_letters(text: Column, alphabet: list[str] = ALPHABET, borrowed: str = BORROWED, exact: bool = True) -> Column:
     return F.array_sort(F.array_except(outside_alphabet(text, alphabet, exact), F.array(*map(F.lit, borrowed))))
 
 
 def overlap(a: Column, b: Column) -> Column:
     """Share of the distinct words of ``a`` that ``b`` has too."""
-    first, second = F.array_distinct(tokens(folded(a))), F.array_distinct(tokens(folded(b)))
+    first, second = F.array_distinct(tokens(casefolded(a))), F.array_distinct(tokens(casefolded(b)))
     return F.size(F.array_intersect(first, second)) / F.greatest(F.size(first), F.lit(1))
 
 

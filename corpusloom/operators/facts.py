@@ -18,7 +18,7 @@ EDGE = r"[\p{L}\p{N}_]"
 SPECIAL = r"([\\.\[\]{}()*+?^$|#&~\-])"
 
 
-def normalised(text: Column, exact: bool = False) -> Column:
+def normalised(text: Column, exact: bool = True) -> Column:
     """Case-folded, with one kind of apostrophe; accents stay."""
     return F.translate(T.folded(text, exact), APOSTROPHES, "'" * len(APOSTROPHES))
 
@@ -39,19 +39,31 @@ def contains(needle: Column, haystack: Column) -> Column:
     return F.regexp_like(haystack, F.when(stem == "", blank).otherwise(F.concat(front, quoted, back)))
 
 
-def score(answer: Column, expected: Column, traps: Column, complete: Column | None = None, exact: bool = False) -> Column:
+GAP = "\u0001"
+
+
+def _each(items: Column, f) -> Column:
+    """``f`` of the texts of a list, folded as one text whose parts a character keeps apart that texts do not have; null is an empty list."""
+    return F.when(F.size(items) > 0, F.split(f(F.array_join(items, GAP)), GAP)).otherwise(F.array().cast("array<string>"))
+
+
+def score(answer: Column, expected: Column, traps: Column, complete: Column | None = None, exact: bool = True) -> Column:
     """The verdict; an answer that was cut short and has neither is unclear."""
     hay = normalised(answer, exact)
-    right = F.exists(expected, lambda x: contains(normalised(x), hay))
-    trapped = F.exists(F.coalesce(traps, F.array().cast("array<string>")), lambda x: contains(normalised(x), hay))
+
+    def any_of(items: Column) -> Column:
+        found = _each(items, lambda t: normalised(t, exact))
+        # beside each needle its text, as a lambda may not call a Python function
+        return F.exists(F.arrays_zip(found.alias("n"), F.array_repeat(hay, F.size(found)).alias("h")), lambda x: contains(x["n"], x["h"]))
+
+    right, trapped = any_of(expected), any_of(traps)
     whole = F.lit(True) if complete is None else F.coalesce(complete, F.lit(True))
     return F.when(right & trapped, UNCLEAR).when(right, RIGHT).when(trapped, TRAPPED).when(whole, UNKNOWN).otherwise(UNCLEAR)
 
 
 def flattened(text: Column, exact: bool = True) -> Column:
     """Case-folded without accents."""
-    low = T.folded(text)
-    return F.regexp_replace(unicode.nfd(unicode.casefold(text)) if exact else low, r"\p{Mn}", "")
+    return F.regexp_replace(unicode.nfd(unicode.casefold(text)) if exact else T.folded(text, False), r"\p{Mn}", "")
 
 
 def present(needle: Column, haystack: Column) -> Column:
@@ -62,13 +74,8 @@ def present(needle: Column, haystack: Column) -> Column:
 
 
 def judged(rows: DataFrame, exact: bool = True) -> DataFrame:
-    """The second scorer's ``verdict`` of ``answer, expected, traps``: plain containment without accents, no word boundaries.
-
-    The lists are flattened as one text each, parted by a character that texts do not have.
-    """
-    gap = "\u0001"
-    lists = {c: F.split(flattened(F.array_join(c, gap), exact), gap) for c in ("expected", "traps")}
-    flat = rows.withColumn("_a", flattened(F.col("answer"), exact)).withColumns({f"_{c}": F.when(F.size(c) > 0, x).otherwise(F.array().cast("array<string>")) for c, x in lists.items()})
+    """The second scorer's ``verdict`` of ``answer, expected, traps``: plain containment without accents, no word boundaries."""
+    flat = rows.withColumn("_a", flattened(F.col("answer"), exact)).withColumns({f"_{c}": _each(F.col(c), lambda t: flattened(t, exact)) for c in ("expected", "traps")})
     right = F.exists("_expected", lambda x: present(x, F.col("_a")))
     trapped = F.exists("_traps", lambda x: present(x, F.col("_a")))
     return flat.withColumn("verdict", F.when(right & trapped, UNCLEAR).when(right, RIGHT).when(trapped, TRAPPED).otherwise(UNKNOWN)).drop("_a", "_expected", "_traps")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 from . import leaks
 
 TAKES = ("all", "unpaired", "fill")
@@ -67,19 +68,43 @@ def loaded(docs: DataFrame, sources: DataFrame, paired: DataFrame | None, routed
     keys by part of :func:`corpusloom.operators.leaks.routes`.  Adds ``dropped`` (paired), ``leak`` and ``kept``.  In
     order: paired rows go; a file with a budget takes rows while the tokens of the accepted ones before are less;
     leaks are skipped and cost nothing.
+
+    Texts are looked at once: the numbers of the rows that leak or are paired are written, and joined to the rows.
     """
-    rows = docs.join(sources.select(F.col("path").alias("file"), "take", "budget"), "file")
-    rows = rows.withColumn("row_id", F.struct("file", "pos")).withColumn("_k", T.key(F.col("text")))
-    if paired is None:
-        rows = rows.withColumn("dropped", F.lit(False))
+    rows = docs.join(sources.select(F.col("path").alias("file"), "take", "budget"), "file").withColumn("row_id", F.struct("file", "pos"))
+    keyed = rows.select("row_id", "part", "take", T.key(F.col("text")).alias("_key"))
+    gone = F.lit(False)
+    if paired is not None:
+        own = keyed.filter("take = 'unpaired'").join(paired.select(F.col("key").alias("_key")), "_key", "left_semi")
+        rows = rows.join(written(own.select("row_id", F.lit(True).alias("_gone")), "paired"), "row_id", "left")
+        gone = F.coalesce("_gone", F.lit(False))
+    rows = rows.withColumn("dropped", gone).drop("_gone")
+    if routed is None:
+        rows = rows.withColumn("leak", F.lit(None).cast("string"))
     else:
-        is_paired = paired.select(F.col("key").alias("_k")).distinct().withColumn("_p", F.lit(True))
-        rows = rows.join(is_paired, "_k", "left").withColumn("dropped", F.coalesce(F.col("_p") & (F.col("take") == "unpaired"), F.lit(False))).drop("_p")
-    rows = leaks.inspected(rows, routed, key="_k") if routed is not None else rows.withColumn("leak", F.lit(None).cast("string"))
+        rows = rows.join(written(leaks.leaking(keyed.drop("take"), routed), "leaks"), "row_id", "left")
     cost = F.when(F.col("leak").isNull() & ~F.col("dropped"), F.col("tokens")).otherwise(F.lit(0))
-    before = F.coalesce(F.sum(cost).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_ = F.col("budget").isNull() | (before < F.col("budget"))
-    return rows.withColumn("reached", open_ & ~F.col("dropped")).withColumn("kept", F.col("reached") & F.col("leak").isNull()).drop("row_id", "_k")
+    ends = _ends(rows.filter("budget IS NOT NULL").select("file", "pos", "budget", cost.alias("_cost")))
+    rows = rows.join(F.broadcast(ends), "file", "left")  # a row for each file of the recipe
+    reached = ~F.col("dropped") & (F.col("_end").isNull() | (F.col("pos") < F.col("_end")))
+    return rows.withColumn("reached", reached).withColumn("kept", F.col("reached") & F.col("leak").isNull()).drop("row_id", "_end")
+
+
+def _ends(costs: DataFrame) -> DataFrame:
+    """``file, _end`` of ``file, pos, budget, _cost``: the first place of each file before which its budget is used up.
+
+    A file of any size is summed by many tasks: rows are ranged over them, summed in each, and what the tasks before
+    have of the file is added.
+    """
+    # written, as two readers of a range partitioning might see it drawn twice
+    ranged = written(costs.repartitionByRange("file", "pos").withColumn("_task", F.spark_partition_id()), "costs")
+    before = Window.partitionBy("file").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("file", "_task").agg(F.sum("_cost").alias("_sum"))
+    base = totals.select("file", "_task", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum("_cost").over(Window.partitionBy("_task", "file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each task and file in it
+    spent = ranged.withColumn("_own", own).join(F.broadcast(base), ["file", "_task"]).filter(F.col("_own") + F.col("_base") >= F.col("budget"))
+    return spent.groupBy("file").agg(F.min("pos").alias("_end"))
 
 
 def report(rows: DataFrame) -> DataFrame:

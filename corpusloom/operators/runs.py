@@ -116,3 +116,8 @@ def start_missing(listing: DataFrame, start: str) -> str | None:
 def run_time(name: Column) -> Column:
     """The time in a run's name."""
     return F.try_to_timestamp(F.regexp_extract(name, r"(\d{8}-\d{4})$", 1), F.lit("yyyyMMdd-HHmm"))
+
+
+def run_name(arm: Column, time: Column) -> Column:
+    """The name of a run that begins at a time."""
+    return F.concat_ws("-", arm, F.date_format(time, "yyyyMMdd-HHmm"))

@@ -55,6 +55,14 @@ def draws_in_parts(seed: int, n: int, resamples: int):
         yield np.fromiter((draw(n) for _ in range(rows * n)), np.int64, rows * n).reshape(rows, n)
 
 
+def congruential_in_parts(seed: int, n: int, resamples: int, a: int = 7919, b: int = 104729):
+    """Draws that plain SQL can make too: slot ``s`` of draw ``d`` takes place ``(a d + b s + d s) mod n``; the seed shifts the draws."""
+    step, slot = max(1, HELD // n), np.arange(n, dtype=np.int64)
+    for begin in range(0, resamples, step):
+        draw = np.arange(begin, min(begin + step, resamples), dtype=np.int64)[:, None] + seed
+        yield (a * draw + b * slot + draw * slot) % n
+
+
 def bounds(values: np.ndarray, level: float) -> tuple[float, float]:
     """The two order statistics of a percentile interval; values that are not numbers are left out."""
     values = np.sort(values[~np.isnan(values)])
@@ -69,7 +77,7 @@ def ratios(nll: np.ndarray, chars: np.ndarray) -> np.ndarray:
         return np.where(chars > 0, nll / math.log(2) / chars, np.nan)
 
 
-def bootstrap(nll: np.ndarray, chars: np.ndarray, seed: int = SEED, resamples: int = RESAMPLES, level: float = LEVEL) -> tuple[float, float, float]:
+def bootstrap(nll: np.ndarray, chars: np.ndarray, seed: int = SEED, resamples: int = RESAMPLES, level: float = LEVEL, draws=draws_in_parts) -> tuple[float, float, float]:
     """(value, low, high); each text's pair is drawn together.  Arrays (sides, texts) with two sides give second minus first."""
     nll, chars = np.atleast_2d(nll), np.atleast_2d(chars)
     whole = ratios(nll.sum(1), chars.sum(1))
@@ -77,24 +85,24 @@ def bootstrap(nll: np.ndarray, chars: np.ndarray, seed: int = SEED, resamples: i
     n = nll.shape[1]
     if n < 2:
         return float(value), float(value), float(value)
-    parts = [[ratios(x[picked].sum(1), c[picked].sum(1)) for x, c in zip(nll, chars)] for picked in draws_in_parts(seed, n, resamples)]
+    parts = [[ratios(x[picked].sum(1), c[picked].sum(1)) for x, c in zip(nll, chars)] for picked in draws(seed, n, resamples)]
     drawn = [np.concatenate(side) for side in zip(*parts)]
     return float(value), *bounds(drawn[0] if len(drawn) == 1 else drawn[1] - drawn[0], level)
 
 
-def intervals(per_text: DataFrame, by: list[str], seed: int = SEED, resamples: int = RESAMPLES, level: float = LEVEL) -> DataFrame:
+def intervals(per_text: DataFrame, by: list[str], seed: int = SEED, resamples: int = RESAMPLES, level: float = LEVEL, draws=draws_in_parts) -> DataFrame:
     """``value, low, high`` of each group of ``pos, nll, chars``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        found = bootstrap(pdf["nll"].to_numpy(float), pdf["chars"].to_numpy(float), seed, resamples, level)
+        found = bootstrap(pdf["nll"].to_numpy(float), pdf["chars"].to_numpy(float), seed, resamples, level, draws)
         return pd.DataFrame([[*pdf[by].iloc[0], *found]], columns=[*by, "value", "low", "high"])
 
     fields = ", ".join(f"{c} {per_text.schema[c].dataType.simpleString()}" for c in by)
     return per_text.select(*by, "pos", "nll", "chars").groupBy(*by).applyInPandas(run, f"{fields}, value double, low double, high double")
 
 
-def differences(before: DataFrame, after: DataFrame, by: list[str], seed: int = SEED, resamples: int = RESAMPLES, level: float = LEVEL) -> DataFrame:
+def differences(before: DataFrame, after: DataFrame, by: list[str], seed: int = SEED, resamples: int = RESAMPLES, level: float = LEVEL, draws=draws_in_parts) -> DataFrame:
     """``value, low, high`` of after minus before on the same texts, drawn in pairs; null where the two sides' places differ."""
     side = lambda df, s: df.select(*by, "pos", F.col("nll").alias(f"nll_{s}"), F.col("chars").alias(f"chars_{s}"))
     both = side(before, "b").join(side(after, "a"), [*by, "pos"], "full")
@@ -106,7 +114,7 @@ def differences(before: DataFrame, after: DataFrame, by: list[str], seed: int =
             found = (None, None, None)
         else:
             nb, na, cb, ca = (pdf[c].to_numpy(float) for c in sides)
-            found = bootstrap(np.stack([nb, na]), np.stack([cb, ca]), seed, resamples, level)
+            found = bootstrap(np.stack([nb, na]), np.stack([cb, ca]), seed, resamples, level, draws)
         return pd.DataFrame([[*pdf[by].iloc[0], *found]], columns=[*by, "value", "low", "high"])
 
     fields = ", ".join(f"{c} {before.schema[c].dataType.simpleString()}" for c in by)

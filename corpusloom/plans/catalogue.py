@@ -309,28 +309,11 @@ def leak_equal(spark, sf_dir):
 def leak_contained_minimizers(spark, sf_dir):
     docs = corpus(spark, sf_dir).select(F.col("pos").alias("row_id"), F.lit("*").alias("part"), T.key(F.col("text")).alias("_key"))
     keys = held_out(spark, sf_dir).filter("capacite <> 'src'").select(F.lit("*").alias("part"), "held_key").distinct().filter(F.length("held_key") >= leaks.MIN_CONTAINMENT)
-    return leaks.contained(docs, keys, automaton_chars=0)
-
-
-@query(
-    f"""WITH {TURNS}, {HELD}, m AS (SELECT turn_id, task, source, unnest(range(len(messages))) AS place, unnest(list_transform(messages, lambda x: x.content)) AS text FROM turns),
-k AS (SELECT *, {key_sql('text')} AS k FROM m), f AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM held WHERE held_key = k) THEN 'equal' WHEN EXISTS (SELECT 1 FROM held WHERE length(held_key) >= 40 AND contains(k, held_key)) THEN 'contained' END AS leak FROM k)
-SELECT turn_id, task, source, CAST(place AS INTEGER) AS "at", leak FROM f WHERE leak IS NOT NULL QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY place) = 1"""
-)
-def turn_leaks(spark, sf_dir):
-    return leaks.first_leak_of_turn(conversations(spark, sf_dir), held_out(spark, sf_dir))
+    return leaks.contained(docs, keys, sent_chars=0)
 
 
 # --- mixtures ----------------------------------------------------------------------------------------------------------
 
-_RECIPE = [(0, "a.jsonl", "tout", None), (1, "b.jsonl", "completer", 50), (2, "a.jsonl", "cote francais", None), (3, "c.jsonl", "sans la part appariee de b", None)]
-
-
-@query("SELECT * FROM (VALUES ('a.jsonl', 'all', CAST(NULL AS BIGINT), 0), ('b.jsonl', 'fill', 50, 1), ('c.jsonl', 'unpaired', NULL, 3)) t(path, take, budget, pos)")
-def plan_dedup(spark, sf_dir):
-    return mixture.plan(spark.createDataFrame(_RECIPE, "pos int, fichier string, prendre string, tokens long"))
-
-
 @query(f"WITH {CORPUS} SELECT pos, part FROM corpus WHERE part IS NULL OR part NOT IN ('fr', 'es')")
 def witness_filter(spark, sf_dir):
     return mixture.witness(corpus(spark, sf_dir).withColumn("registre", F.col("part")), ["fr", "es"]).select("pos", "part")
@@ -585,12 +568,6 @@ def language_share(spark, sf_dir):
     return rows.groupBy("grp").agg(F.round(F.avg(F.col("ok").cast("int")), 6).alias("share"))
 
 
-@query()
-def chrf_corpus(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select(F.pmod("conv_id", F.lit(5)).alias("grp"), F.col("reponse").alias("hypothesis"), F.col("prompt").alias("reference"))
-    return chrf.corpus_score(rows, ["grp"], word_order=2)
-
-
 # --- turns -------------------------------------------------------------------------------------------------------------
 
 
@@ -688,14 +665,6 @@ def resume_refused(spark, sf_dir):
     return o.select("o_orderkey", runs.resume_refused(F.col("o_custkey"), before, F.lit(700)).alias("refused"))
 
 
-@query("SELECT o_orderkey, 'A-' || o_custkey AS arm_run, 'A' AS arm, CAST(o_custkey AS BIGINT) AS step, 'A-' || o_custkey AS label FROM orders")
-def path_projections(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("c"))
-    path = F.concat(F.lit("/content/cpt/A-20260831-1024/checkpoint-"), "c")
-    point = F.concat(F.lit("A-20260831-1024-checkpoint-"), "c")
-    return o.select("o_orderkey", F.concat_ws("-", curves.arm_of(point, path), "c").alias("arm_run"), curves.path_parts(path, ["A"])["arm"].alias("arm"), curves.order_key(point)["step"].alias("step"), curves.run_label(F.concat(F.lit("A@checkpoint-"), "c")).alias("label"))
-
-
 @query(f"WITH {LOG} SELECT run, pas AS step, eval_loss FROM log WHERE eval_loss IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY eval_loss, pas) = 1")
 def log_stream(spark, sf_dir):
     """The log as a stream, read to its end, with the best loss of each run as its state."""

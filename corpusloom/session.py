@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,8 +30,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-shared")).rstrip("/")
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it is unset and all runs in one process, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-shared")
+    return top.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

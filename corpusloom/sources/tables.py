@@ -38,11 +38,24 @@ def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("file", F.col("pos").cast("long").alias("pos"), F.from_json("line", schema).alias("r")).select("file", "pos", "r.*")
 
 
+def split_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of files of any size with ``file`` and ``pos``, split over tasks: ``pos`` rises in the file's order, with gaps.
+
+    A line's ``pos`` is the first byte of its block and its number in the task.  Every line takes more than one byte, so
+    numbers stay under the next block's first byte; a block that shares its task is a file's last one.  Blank lines are
+    passed over, a carriage return at a line's end too.
+    """
+    text = spark.read.option("lineSep", "\n").text(path).filter(F.trim(F.rtrim("value", F.lit("\r"))) != "")
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = text.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("begins"), "value").withColumn("number", number)
+    return rows.select("file", (F.col("begins") + F.col("number")).alias("pos"), F.from_json("value", schema).alias("r")).select("file", "pos", "r.*")
+
+
 def mixture(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
-    """Documents of a mixture file; with ``missing_ok`` a missing file has no rows."""
+    """Documents of a mixture file, of any size; with ``missing_ok`` a missing file has no rows."""
     if missing_ok and not files.exists(spark, path):
         return spark.createDataFrame([], f"file string, pos long, {MIXTURE_DOC}")
-    return lines(spark, path, MIXTURE_DOC)
+    return split_lines(spark, path, MIXTURE_DOC)
 
 
 def large_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -112,10 +125,19 @@ def licences(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def rewritten(df: DataFrame, path: str) -> None:
-    """Replaces a table that ``df`` may be read from: written beside it, then swapped."""
-    spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.new"
+    """Replaces a table that ``df`` may be read from: written beside it, the old one put aside, the new one put in its place.
+
+    At any moment the old or the new table is whole under ``path``, ``path.new`` or ``path.old``.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    fresh, aside = f"{path}.new", f"{path}.old"
+    fs, at = files._at(spark, path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     df.write.mode("overwrite").parquet(fresh)
-    files.delete(spark, path)
-    fs, p = files._at(spark, fresh)
-    fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    files.delete(spark, aside)
+    if fs.exists(at) and not fs.rename(at, place(aside)):
+        raise OSError(f"{path} cannot be put aside")
+    if not fs.rename(place(fresh), at):
+        fs.rename(place(aside), at)
+        raise OSError(f"{path} cannot be replaced")
+    files.delete(spark, aside)

@@ -36,23 +36,28 @@ def best_so_far(stream: DataFrame) -> DataFrame:
     return best.select("run", "x.step", "x.eval_loss")
 
 
-def retention(stream: DataFrame, steps_per_epoch: int, keep_all: bool = False) -> DataFrame:
-    """Saves (``run, step``) as they arrive: ``run, step, opens, previous, action``.
+def retention(stream: DataFrame, steps_per_epoch: int, keep_all: bool = True) -> DataFrame:
+    """Saves (``run, step``) as they arrive: ``run, step, opens, previous, action``, as the batch plan has them.
 
     State of a run: the save before, whether that one opened an epoch, and the highest epoch so far.  ``action`` says what
-    becomes of the save before: ``prune`` or ``delete``.
+    becomes of the save before: ``prune`` or ``delete``.  Saves of one trigger are taken by step, so a run's saves may
+    come in any order within it.  One that comes after a later one was handled, or again, changes nothing: its
+    ``action`` is ``late`` and its ``previous`` null, so that nothing is removed on its account.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         previous, kept, top = state.get if state.exists else (None, False, -1)
         rows = []
-        for step in sorted(s for pdf in batches for s in pdf["step"].tolist()):
+        for step in sorted(int(s) for pdf in batches for s in pdf["step"].tolist()):
+            if previous is not None and step <= previous:
+                rows.append((key[0], step, False, None, "late"))
+                continue
             epoch = step // steps_per_epoch if steps_per_epoch else -1
             opens = bool(steps_per_epoch) and epoch > top
-            top = max(top, epoch) if opens else top
-            rows.append((key[0], int(step), opens, previous, None if previous is None else "prune" if kept else "delete"))
-            previous, kept = int(step), opens or keep_all
+            top = epoch if opens else top
+            rows.append((key[0], step, opens, previous, None if previous is None else "prune" if kept else "delete"))
+            previous, kept = step, opens or keep_all
         state.update((previous, kept, int(top)))
         yield pd.DataFrame(rows, columns=["run", "step", "opens", "previous", "action"]).astype({"previous": "Int64"})
 
-    return stream.select("run", "step").groupBy("run").applyInPandasWithState(run, "run string, step long, opens boolean, previous long, action string", "previous long, kept boolean, top long", "append", "NoTimeout")
+    return stream.select("run", "step").filter("step IS NOT NULL").groupBy("run").applyInPandasWithState(run, "run string, step long, opens boolean, previous long, action string", "previous long, kept boolean, top long", "append", "NoTimeout")

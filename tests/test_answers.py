@@ -1,7 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chrf, collapse, curves, facts, runs, statistics, turns
@@ -160,12 +163,30 @@ def test_alignment(spark):
         chrf.aligned(spark.createDataFrame([(5, 0, "x")], schema), mos).collect()
 
 
+def counted(hypothesis, reference, word_order):
+    """The statistics of one pair, n-gram by n-gram."""
+    out = []
+    sides = [("".join(s.split()), chrf.words_of(s)) for s in (hypothesis or "", reference or "")]
+    for part, most in ((0, chrf.CHARS), (1, word_order)):
+        for n in range(1, most + 1):
+            h, r = (Counter(tuple(s[part][i : i + n]) for i in range(len(s[part]) - n + 1)) for s in sides)
+            out += [sum(h.values()), sum(r.values()), sum((h & r).values())]
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab é.,😀\n", max_size=14) | st.none(), st.text(alphabet="ab é.,😀\n", max_size=14) | st.none()), max_size=5), st.sampled_from([0, 2]))
+def test_ngrams_of_a_batch(pairs, order):
+    got = chrf.batch_statistics([h for h, _ in pairs], [r for _, r in pairs], order)
+    assert got.tolist() == [counted(h, r, order) for h, r in pairs]
+
+
 def test_chrf(spark):
     rows = [("s", "d", i, h, r) for i, (h, r) in enumerate([("the cat sat", "the cat sat"), ("a dog", "the dog ran"), ("", "x y z")])] + [("t", "d", i, r, r) for i, r in enumerate(["the cat sat", "the dog ran", "x y z"])]
     df = spark.createDataFrame(rows, "name string, direction string, pos int, hypothesis string, reference string")
     for order in (0, 2):
         got = {r["name"]: r["chrf"] for r in chrf.corpus_score(df, ["name"], order).collect()}
-        want = chrf.f_score(np.sum([chrf.sentence_statistics(h, r, order) for n, _, _, h, r in rows if n == "s"], axis=0))
+        want = chrf.f_score(np.sum([counted(h, r, order) for n, _, _, h, r in rows if n == "s"], axis=0))
         assert got["t"] == 100.0 and got["s"] == pytest.approx(float(want), abs=0.006)
     same, better = (chrf.paired(df, [pair], draws=200).first() for pair in (("s", "s"), ("t", "s")))
     assert tuple(same)[3:] == (0, 0, 0) and better["difference"] > 0 and better["low"] >= 0

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,12 +62,62 @@ def test_plan_refuses_two_takes_and_unknown_phrases(spark):
             mixture.plan(spark.createDataFrame(rows, schema)).collect()
 
 
-@pytest.mark.parametrize("automaton", [1 << 20, 0])
-def test_containment_from_forty_characters(spark, automaton):
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_containment_from_forty_characters(spark, sent):
     long, short = "abcdefghij" * 4, "abcdefghij" * 3 + "abcdefghi"
     rows = spark.createDataFrame([(0, "p", "x" + long + "y"), (1, "p", "x" + short + "y"), (2, "q", "x" + long), (3, "p", None), (4, "p", "")], "row_id long, part string, _key string")
     routed = spark.createDataFrame([("p", long), ("p", short)], "part string, held_key string").filter(F.length("held_key") >= 40)
-    assert [r[0] for r in leaks.contained(rows, routed, automaton_chars=automaton).collect()] == [0]
+    assert [r[0] for r in leaks.contained(rows, routed, sent_chars=sent).collect()] == [0]
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_leaks_against_all_pairs(spark, sent):
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choice("abé好") for _ in range(n))
+    head = some(60)
+    held = [("p", head + some(k)) for k in range(30)] + [("q", some(rng.randrange(1, 90))) for _ in range(40)] + [("p", "short"), ("q", head)]
+    texts = [some(rng.randrange(120)) for _ in range(60)] + [some(9) + rng.choice(held)[1] + some(rng.randrange(40)) for _ in range(80)] + [rng.choice(held)[1] for _ in range(30)] + [head[:-1], None, "", head * 40]
+    rows = [(k, rng.choice("pq"), t) for k, t in enumerate(texts)]
+    want = {}
+    for k, part, t in rows:
+        own = [h for p, h in held if p == part]
+        leak = None if t is None else "equal" if t in own else "contained" if any(len(h) >= 40 and h in t for h in own) else None
+        want |= {k: leak} if leak else {}
+    df = spark.createDataFrame(rows, "row_id long, part string, _key string").repartition(3)
+    routed = spark.createDataFrame(held, "part string, held_key string")
+    assert {r["row_id"]: r["leak"] for r in leaks.leaking(df, routed, sent_chars=sent).collect()} == want
+    assert len(want) > 60
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_held_out_texts_in_other_forms_leak(spark, sent):
+    text = "Sẽn yaa tɩ nin-kãng sã n da be, a yãmb ning bũmb fãa sẽn paase, tɩ ra yɩ tãag ye"
+    nfd, sharp = unicodedata.normalize("NFD", text), "Straße im Mondschein, die niemals endet und doch irgendwo aufhört"
+    held = leaks.held_out_keys(spark.createDataFrame([("c", text), ("c", nfd), ("c", sharp)], "capacite string, text string"))
+    assert held.count() == 2
+    routed = held.select(F.lit("*").alias("part"), "held_key")
+    rows = [text, nfd, "avant " + nfd + " après", "avant " + text, sharp.upper(), sharp.replace("s", "ſ"), unicodedata.normalize("NFD", sharp) + "x", text[:30], nfd[:20]]
+    df = spark.createDataFrame([(k, "*", t) for k, t in enumerate(rows)], "row_id long, part string, text string")
+    got = {r["row_id"]: r["leak"] for r in leaks.inspected(df, routed, sent_chars=sent).collect()}
+    assert [got[k] for k in range(len(rows))] == ["equal", "equal", "contained", "contained", "equal", "equal", "contained", None, None]
+
+
+def test_paired_texts_in_other_forms_are_dropped(spark):
+    text = "Ãmb sẽn yaa"
+    paired = mixture.paired_keys(spark.createDataFrame([(unicodedata.normalize("NFD", text) + "\n\nsuite",)], "text string"))
+    assert kept(load(spark, [("f", 0, "p", text, 4), ("f", 1, "p", "autre", 4)], [("f", "unpaired", None)], paired)) == [1]
+    assert mixture.witness_keys(spark.createDataFrame([(text, None), (unicodedata.normalize("NFD", text), None)], "text string, registre string")).count() == 1
+
+
+def test_budgets_of_files_that_many_tasks_share(spark):
+    rng = random.Random(9)
+    docs = [(f"f{k % 3}", k, "p", "leak" if rng.random() < 0.1 else f"text {k}", rng.randrange(9)) for k in range(600)]
+    budgets = {"f0": 300, "f1": 0, "f2": 10**6}
+    rows = load(spark, docs, [(f, "fill", b) for f, b in budgets.items()], held=["leak"]).select("file", "pos", "kept", "reached").collect()
+    spent = dict.fromkeys(budgets, 0)
+    for (file, pos, _, text, tokens), r in zip(docs, sorted(rows, key=lambda r: r["pos"])):
+        assert (r["reached"], r["kept"]) == (spent[file] < budgets[file], spent[file] < budgets[file] and text != "leak")
+        spent[file] += tokens if text != "leak" else 0
 
 
 def test_routes_know_unknown_parts(spark):

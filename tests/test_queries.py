@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from corpusloom.plans import catalogue
+from corpusloom.plans import catalogue, measures  # noqa: F401  (both register queries)
 
 ROOT = Path(__file__).resolve().parents[1]
 DATA = Path("/root/testdata/sf0.001")
