@@ -5,14 +5,18 @@ its documents and packs them in blocks of bounded size:
 
 1. a document's whole windows of the longest tier are sequences by themselves; what
    remains is routed to the shortest tier that holds it;
-2. the two longest tiers are packed by best fit, longest pieces first, into windows of
-   the longest; the shorter tiers are held back;
-3. gaps of those windows are filled from the shorter tiers, cutting a piece where no
-   whole one fits;
-4. what is left is packed into windows of the longest tiers that it still fills, which
-   need no padding; less than the shortest tier goes on to the task's next block, and is padded only at its end;
+2. from the longest tier on, the pieces of a tier are packed by best fit, longest first,
+   into windows of its length;
+3. the gaps of these windows are filled from the shorter tiers, each time with the longest
+   piece that fits; where only longer ones are left, one is cut, and what remains of it
+   is routed anew; where nothing shorter is left, the emptiest window of the tier gives
+   its pieces;
+4. a window that stays open gives its pieces to the tiers below.  Every window is full, as
+   one that is not would be padded to the longest; less than the shortest tier goes on to
+   the task's next block, and is padded only at its end;
 5. sequences of a tier are dealt to step groups in a snake by documents they hold, so
-   that groups of a tier have equal token counts and like numbers of pieces.
+   that groups of a tier have equal token counts (but for one sequence) and like numbers
+   of pieces.
 
 No shuffle: a sequence's id is the task's number and a counter.  A rerun over the same
 input splits gives the same ids.
@@ -41,72 +45,67 @@ BLOCK_TOKENS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
-def pack_remainders(sizes: np.ndarray, tiers: tuple[int, ...] = TIERS) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
-    """Packs pieces shorter than the longest tier; ([pieces (item, begin, end) of a sequence], pieces left over).
+Piece = tuple[int, int, int]  # an item, and where in it the piece begins and ends
+
+
+def pack_remainders(sizes: np.ndarray, tiers: tuple[int, ...] = TIERS) -> tuple[list[list[Piece]], list[Piece]]:
+    """Packs pieces shorter than the longest tier; (the pieces of each sequence, pieces left over).
 
     Every sequence is full to a tier's length; the left-over pieces are shorter together than the shortest tier.
     """
-    top = tiers[0]
-    route = {t: [] for t in tiers}
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        if sizes[i]:
-            route[next(t for t in reversed(tiers) if sizes[i] <= t)].append((i, 0, int(sizes[i])))
-    filler = sorted((p for t in tiers[2:] for p in route[t]), key=lambda p: (p[2] - p[1], -p[0]))
-    full: list[list[tuple[int, int, int]]] = []
-    gaps: list[tuple[int, int, list]] = []  # (gap, number, pieces), by gap
-    n = 0
-    for t in tiers[:2]:
-        open_: list[tuple[int, int, list]] = []
-        for piece in route[t]:
-            size = piece[2] - piece[1]
-            at = bisect.bisect_left(open_, (size, -1))
-            if at < len(open_):
-                gap, k, bin_ = open_.pop(at)
-            else:
-                gap, k, bin_, n = top, n, [], n + 1
-            bin_.append(piece)
-            if gap == size:
-                full.append(bin_)
-            else:
-                bisect.insort(open_, (gap - size, k, bin_), key=lambda x: x[:2])
-        gaps += open_
-    gaps.sort(key=lambda x: x[:2])
-    for place, (gap, _, bin_) in enumerate(gaps):
-        while gap and filler:
-            at = bisect.bisect_right(filler, gap, key=lambda p: p[2] - p[1]) - 1
-            if at >= 0:
-                piece = filler.pop(at)
-            else:
-                i, b, e = filler.pop(0)
-                piece = (i, b, b + gap)
-                bisect.insort(filler, (i, b + gap, e), key=lambda p: p[2] - p[1])
-            bin_.append(piece)
-            gap -= piece[2] - piece[1]
+    pool = sorted((int(n), -i, 0) for i, n in enumerate(sizes) if n)  # (size, item, begin) in order of size
+    full: list[list[Piece]] = []
+    for tier, shorter in zip(tiers, (*tiers[1:], 0)):
+        _pack_tier(pool, tier, shorter, full)
+    return full, [(-i, b, b + n) for n, i, b in pool]
+
+
+def _pack_tier(pool: list[tuple[int, int, int]], tier: int, shorter: int, full: list[list[Piece]]) -> None:
+    """Moves full windows of one tier from the pool; pieces of up to ``shorter`` words only fill gaps."""
+    at = bisect.bisect_right(pool, (shorter, 1, 0))
+    own, pool[at:] = pool[at:], []
+    windows: list[tuple[int, int, list]] = []  # (gap, number, pieces), in order
+    for k, (n, i, b) in enumerate(reversed(own)):
+        for _ in range(n // tier):
+            full.append([(-i, b, b + tier)])
+            n, b = n - tier, b + tier
+        if not n:
+            continue
+        if n <= shorter:  # what remains of a piece longer than the tier
+            bisect.insort(pool, (n, i, b))
+            continue
+        fit = bisect.bisect_left(windows, (n, -1, []))
+        gap, number, pieces = windows.pop(fit) if fit < len(windows) else (tier, k, [])
+        pieces.append((n, i, b))
+        if gap == n:
+            full.append(_placed(pieces))
+        else:
+            bisect.insort(windows, (gap - n, number, pieces))
+    begun = 0
+    while begun < len(windows):
+        gap, _, pieces = windows[begun]
+        begun += 1
+        while gap:
+            if not pool:
+                if begun == len(windows):
+                    break
+                pool.extend(sorted(windows.pop()[2]))
+            at = bisect.bisect_left(pool, (gap + 1, -(1 << 62), 0)) - 1
+            n, i, b = pool.pop(max(at, 0))
+            if n > gap:
+                bisect.insort(pool, (n - gap, i, b + gap))
+                n = gap
+            pieces.append((n, i, b))
+            gap -= n
         if gap:
-            filler = [p for _, _, b in gaps[place:] for p in b]
-            break
-        full.append(bin_)
-    return cut_windows(filler, tiers, full)
-
-
-def cut_windows(pieces, tiers, full):
-    """The pieces one after another, cut into the longest windows that they still fill."""
-    rest = sum(e - b for _, b, e in pieces)
-    queue = [list(p) for p in pieces][::-1]
-    for t in tiers:
-        while rest >= t:
-            window, need = [], t
-            while need:
-                piece = queue[-1]
-                take = min(need, piece[2] - piece[1])
-                window.append((piece[0], piece[1], piece[1] + take))
-                piece[1] += take
-                need -= take
-                if piece[1] == piece[2]:
-                    queue.pop()
-            full.append(window)
-            rest -= t
-    return full, [tuple(p) for p in queue[::-1]]
+            for piece in pieces:
+                bisect.insort(pool, piece)
+        else:
+            full.append(_placed(pieces))
+
+
+def _placed(pieces: list[tuple[int, int, int]]) -> list[Piece]:
+    return [(-i, b, b + n) for n, i, b in pieces]
 
 
 class Packer:

@@ -94,6 +94,41 @@ def test_remainders_fill_their_windows(sizes):
         assert [b for b, _ in spans] == [0, *(e for _, e in spans)][: len(spans)] and (spans[-1][1] if spans else 0) == n
 
 
+@pytest.mark.parametrize(("median", "tiers"), [(60, {512, 256, 128, 64}), (300, {1024, 512, 256}), (1500, {1024})])
+def test_tiers_are_packed(median, tiers):
+    rng = np.random.default_rng(median)
+    sizes = np.minimum(rng.lognormal(np.log(median), 0.8, 10_000).astype(int) + 1, 20_000) % 1024
+    full, left = packing.pack_remainders(sizes)
+    lengths = [sum(e - b for _, b, e in w) for w in full]
+    counts = {t: lengths.count(t) for t in packing.TIERS}
+    assert {t for t in packing.TIERS if counts[t] > 200} == tiers | ({256} if median == 60 else set()), counts
+    # few pieces are cut, and the gaps of a tier are filled by shorter pieces
+    assert sum(map(len, full)) < 1.6 * (sizes > 0).sum() and sum(e - b for _, b, e in left) < 64
+    for window, n in zip(full, lengths):
+        longest = max(e - b for _, b, e in window)
+        assert longest > n / 2 or n == packing.TIERS[-1] or median == 1500
+
+
+def test_equal_pieces_stay_in_their_tier():
+    full, left = packing.pack_remainders(np.full(3000, 300))
+    lengths = [sum(e - b for _, b, e in w) for w in full]
+    assert lengths.count(512) >= 0.99 * len(lengths) and sum(lengths) + sum(e - b for _, b, e in left) == 900_000
+
+
+def test_step_groups_of_every_tier():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 700, 4000)
+    ids = np.arange(int(sizes.sum()), dtype=np.int32)
+    rows = packing.Packer(0).pack(list(range(4000)), ids, np.concatenate([[0], np.cumsum(sizes)]), last=True).to_pandas()
+    groups = rows.groupby(["tier", "step_group"]).agg(sequences=("sequence_id", "nunique"), pieces=("doc_id", "size")).reset_index()
+    for tier, own in groups[groups.tier.isin(packing.TIERS)].groupby("tier"):
+        assert own.sequences.max() - own.sequences.min() <= 1 and own.sequences.max() <= packing.STEP_SEQUENCES
+        assert own.pieces.max() - own.pieces.min() <= packing.STEP_SEQUENCES, tier
+    assert (groups[groups.sequences > 1].tier.nunique()) >= 3
+    short = rows.groupby("sequence_id").length.sum()
+    assert (~short.isin(packing.TIERS)).sum() <= 1
+
+
 def test_every_id_lies_in_one_piece(spark, monkeypatch):
     rows = [(i, t, "clash", "clash") for i, t in enumerate(TEXTS * 8)] + [(None, None, None, None), (0, "", None, None)]
     got = packing.pack_documents(docs(spark, rows).filter("doc_id IS NOT NULL").filter(F.col("offset").isNotNull()), PATH).toPandas()
