@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import written
 from . import leaks
+from .packing import with_offsets
 
 TAKES = ("all", "unpaired", "fill")
 
@@ -146,10 +147,25 @@ def fingerprint(rows: DataFrame, order: list[str]) -> str:
     return digest.hexdigest()[:12]
 
 
-def freeze(rows: DataFrame, arm: str, out: str, order: list[str], labels: dict[str, str], licences: dict[str, str], recipe: dict, note: str = "", date: str | None = None) -> dict:
+def block_fingerprint(rows: DataFrame, order: list[str], block: int = 1 << 16) -> str:
+    """First 12 hex digits of a digest of all texts in order that no single task computes.
+
+    Texts are hashed where they are; the digests of ``block`` texts, and of so many blocks, are hashed together, so that
+    a row for each four billion texts reaches the driver.
+    """
+    digests = with_offsets(rows.select(*order, F.sha2("text", 256).alias("digest"), F.lit(1).alias("_one")), order, "_one", "place").select("place", "digest")
+    for _ in range(2):
+        own = digests.groupBy(F.floor(F.col("place") / block).alias("of")).agg(F.array_sort(F.collect_list(F.struct("place", "digest"))).alias("d"))
+        digests = own.select(F.col("of").alias("place"), F.sha2(F.array_join("d.digest", ""), 256).alias("digest"))
+    last = "".join(r["digest"] for r in digests.orderBy("place").collect())
+    return hashlib.sha256(last.encode()).hexdigest()[:12]
+
+
+def freeze(rows: DataFrame, arm: str, out: str, order: list[str], labels: dict[str, str], licences: dict[str, str], recipe: dict, note: str = "", date: str | None = None, name=fingerprint) -> dict:
     """Writes the kept rows as zstd Parquet (``text, part, source``) under a folder named by their content, then card and pointer.
 
-    Any leak refuses.  Returns the card.
+    Any leak refuses.  ``name`` gives the content's mark: the one that streams all texts in order, so that marks can be
+    compared with earlier ones, or :func:`block_fingerprint`, which scales.  Returns the card.
     """
     from ..sources import files
 
@@ -158,7 +174,7 @@ def freeze(rows: DataFrame, arm: str, out: str, order: list[str], labels: dict[s
     if leaked := sum(r["leaks"] for r in counts):
         raise ValueError(f"{leaked} held-out texts in the mixture: nothing is frozen")
     kept = rows.filter("kept")
-    mark = fingerprint(kept, order)
+    mark = name(kept, order)
     uri = f"{out.rstrip('/')}/{arm}-{mark}"
     labelled = kept.withColumn("source", F.col("file")).withColumn("part", label_of(F.col("file"), labels))
     labelled.orderBy(*order).select("text", "part", "source").write.option("compression", "zstd").mode("overwrite").parquet(f"{uri}/data")

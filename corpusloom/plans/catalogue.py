@@ -12,11 +12,14 @@ Spark functions and once as SQL:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chrf, collapse, curves, facts, leaks, mixture, packing, runs, statistics, turns
+from ..session import shared_dir
 from ..streaming import logs
 
 QUERIES: dict = {}
@@ -671,10 +674,10 @@ def log_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet" if not _is_folder(spark, f"{sf_dir}/events.parquet") else "*.parquet").parquet(sf_dir if not _is_folder(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parquet")
     rows = stream.select(F.concat(F.lit("run-"), F.pmod("user_id", F.lit(8))).alias("run"), F.col("event_id").alias("pas"), F.when(F.col("event_type") == F.lit("error"), F.round("value", 4)).alias("eval_loss"))
-    name = f"log_stream_{abs(hash(sf_dir))}"
-    running = logs.best_so_far(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    out, progress = (f"{shared_dir(spark)}/corpusloom/{kind}-{uuid.uuid4().hex}" for kind in ("best", "progress"))
+    kept = logs.best_so_far(rows).writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    kept.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
 
 
 def _is_folder(spark, path: str) -> bool:

@@ -263,17 +263,24 @@ def frozen_mixture(spark, sf_dir):
     return read.select(F.md5("text").alias("digest"), F.concat(F.lit("part "), F.split_part("source", F.lit("|"), F.lit(2))).alias("part"), F.split_part("source", F.lit("|"), F.lit(1)).alias("source"))
 
 
-@query("SELECT 'f' || (o_orderkey % 7) || '.txt' AS key, sha256(string_agg('order ' || o_orderkey || chr(10), '' ORDER BY o_orderkey)) AS sha256, CASE o_orderkey % 7 WHEN 3 THEN false WHEN 4 THEN NULL ELSE true END AS matches FROM orders WHERE o_orderkey < 400 GROUP BY o_orderkey % 7")
+_DIGESTS = "r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, sha256(text) AS d FROM documents), b AS (SELECT place // 65536 AS b, sha256(string_agg(d, '' ORDER BY place)) AS d FROM r GROUP BY 1), c AS (SELECT b // 65536 AS c, sha256(string_agg(d, '' ORDER BY b)) AS d FROM b GROUP BY 1)"
+
+
+@query(f"WITH {_DIGESTS} SELECT substr(sha256(string_agg(d, '' ORDER BY c)), 1, 12) AS fingerprint FROM c")
+def block_fingerprint(spark, sf_dir):
+    return spark.createDataFrame([(mixture.block_fingerprint(corpus(spark, sf_dir), ["pos"]),)], "fingerprint string")
+
+
+@query("SELECT 'k=' || (o_orderkey % 7) AS key, sha256(string_agg('order ' || o_orderkey || chr(10), '' ORDER BY o_orderkey)) AS sha256, CASE o_orderkey % 7 WHEN 3 THEN false WHEN 4 THEN NULL ELSE true END AS matches FROM orders GROUP BY o_orderkey % 7")
 def object_digests(spark, sf_dir):
-    """Files put into a folder, hashed on the executors and held against wanted digests: one differs, one is absent."""
+    """Files in a folder, hashed on the executors and held against wanted digests: one differs, one is absent."""
     root = folder(spark, "objects")
-    keys = [r[0] for r in table(spark, sf_dir, "orders").filter("o_orderkey < 400").select("o_orderkey").orderBy("o_orderkey").collect()]  # the objects of a fixture
-    for k in sorted({key % 7 for key in keys}):
-        files.write_text(spark, f"{root}/f{k}.txt", "".join(f"order {key}\n" for key in keys if key % 7 == k))
-    found = files.digests(spark, root)
-    wanted = found.select("key", F.when(F.col("key") == "f3.txt", F.lit("other")).otherwise(F.col("sha256")).alias("sha256"))
-    compared = files.matches(wanted, found.filter("key <> 'f4.txt'"))
-    return found.select("key", "sha256").join(compared.select("key", "matches"), "key")
+    rows = table(spark, sf_dir, "orders").select(F.pmod("o_orderkey", F.lit(7)).alias("k"), "o_orderkey").repartition("k").sortWithinPartitions("k", "o_orderkey")
+    rows.select("k", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("value")).write.partitionBy("k").text(root)
+    found = files.digests(spark, root, "*.txt")
+    wanted = found.select("key", F.when(F.col("key").startswith("k=3/"), F.lit("other")).otherwise(F.col("sha256")).alias("sha256"))
+    compared = files.matches(wanted, found.filter(~F.col("key").startswith("k=4/")))
+    return found.select("key", "sha256").join(compared.select("key", "matches"), "key").withColumn("key", F.split_part("key", F.lit("/"), F.lit(1)))
 
 
 @query(
@@ -451,9 +458,9 @@ def evaluations_in_order(spark, sf_dir):
     return curves.evaluations(e, last).select(F.col("epoque").alias("run"), "pas", "eval_loss")
 
 
-@query("SELECT DISTINCT 'run-' || (user_id % 8) AS run FROM events WHERE event_type = 'error' AND user_id % 8 >= 2")
+@query("SELECT DISTINCT 'run-' || (user_id % 8) AS run FROM events WHERE event_type = 'error'")
 def run_names(spark, sf_dir):
-    kept = _listing(spark, sf_dir).filter("key >= 'run-2'").unionAll(spark.createDataFrame([("other/x",), ("run-loose",)], "key string"))
+    kept = _listing(spark, sf_dir).unionAll(spark.createDataFrame([("other/x",), ("run-loose",)], "key string"))
     return runs.run_names(kept, "run-")
 
 

@@ -73,9 +73,11 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``key, sha256`` of the files under a root, hashed on the executors."""
+    """``key, sha256`` of the files under a root, keys relative to it, hashed on the executors."""
+    fs, p = _at(spark, root)
+    base = fs.makeQualified(p).toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select(F.substring_index("path", "/", -1).alias("key"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.replace("path", F.lit(base), F.lit("")).alias("key"), F.sha2("content", 256).alias("sha256"))
 
 
 def matches(wanted: DataFrame, found: DataFrame) -> DataFrame:
