@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, row_type, whole_row, written
+from .shared import BLANKS, row_schema, whole_row, written
 
 #: Bytes of distinct texts that a task folds or compares at once.
 TABLE_BYTES = 48 << 20
 #: Spill files that a bucket is dealt to.
 FANOUT = 8
-FOLDED = "doc_id long, gid long, first boolean, hash long, text string, rows long"
+#: Bytes that a row of a table takes beside its text: its id and place.
+MEMBER_BYTES = 150
+FOLDED = "doc_id long, gid long, first boolean, hash long, rows long"
 DECIDED = "gid long, keep_id long, group_size long, wins boolean, text_sha256 string"
 
 
@@ -73,22 +75,25 @@ class OpenTable:
 
 
 def _fold(limit: int, carry: bool = False):
-    """A row for each row; the first of each text in a table has the text, and how many rows it stands for, and its own whole row."""
+    """A row for each row; the first of each text in a table has the hash, how many rows it stands for, and its text or, with ``carry``, its own whole row.
+
+    A table ends at ``limit`` bytes of texts, members and carried rows together.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        table, ids, carried, seen = OpenTable(), [], [], 0
+        table, ids, carried, seen, size = OpenTable(), [], [], 0, 0
 
         def folded():
-            nonlocal base, table, ids, carried, seen
+            nonlocal base, table, ids, carried, seen, size
             members = [(d, k, at) for k, own in enumerate(ids) for d, at in sorted(own, key=_null_last_first)]
-            whole = pa.concat_arrays(carried) if carry else None
             counts = [len(own) for own in ids]
             begins = np.cumsum(counts) - counts
             first = np.zeros(len(members), dtype=bool)
             first[begins] = True
+            whole = pa.concat_arrays(carried) if carry else None
             for at in range(0, len(members), 2000):
                 part = members[at : at + 2000]
                 lead = first[at : at + 2000].tolist()
@@ -97,24 +102,27 @@ def _fold(limit: int, carry: bool = False):
                     pa.array([base + k for _, k, _ in part], pa.int64()),
                     pa.array(lead),
                     pa.array([table.hashes[k] if f else None for (_, k, _), f in zip(part, lead)], pa.int64()),
-                    pa.array([table.texts[k] if f else None for (_, k, _), f in zip(part, lead)], pa.binary()).cast(pa.string()),
                     pa.array([counts[k] if f else None for (_, k, _), f in zip(part, lead)], pa.int64()),
                 ]
                 if carry:
                     columns.append(whole.take(pa.array([x if f else None for (_, _, x), f in zip(part, lead)], pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "gid", "first", "hash", "text", "rows", "row"][: len(columns)])
+                else:
+                    columns.append(pa.array([table.texts[k] if f else None for (_, k, _), f in zip(part, lead)], pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "gid", "first", "hash", "rows", "row" if carry else "text"])
             base += len(table)
-            table, ids, carried, seen = OpenTable(), [], [], 0
+            table, ids, carried, seen, size = OpenTable(), [], [], 0, 0
 
         for batch in batches:
             begun = 0
+            row_bytes = batch.column(3).nbytes // max(1, batch.num_rows) if carry else 0
             for i, (d, h, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()), 1):
                 k = table.put(h, t)
                 if k == len(ids):
                     ids.append([])
                 ids[k].append((d, seen))
                 seen += 1
-                if table.bytes > limit or carry and seen >= 200_000:
+                size += MEMBER_BYTES + row_bytes
+                if table.bytes + size > limit:
                     if carry:
                         carried.append(batch.column(3).slice(begun, i - begun))
                         begun = i
@@ -139,13 +147,16 @@ def grace(rows, limit: int = TABLE_BYTES, fanout: int = FANOUT, depth: int = 0,
     """(lists of rows that fit one table) from rows (hash, text, doc_id, gid, rows); every text's rows are in one list.
 
     Rows go to spill files once they are more than ``limit`` bytes, by the bits of the hash after those used so far.
-    At the last bits a list may be larger: then its texts share 60 bits of hash.
+    Copies of a text are held once.  At the last bits a list may be larger: then its texts share 60 bits of hash.
     """
-    held, size = [], 0
+    held, texts, size = [], {}, 0
     rows = iter(rows)
     for row in rows:
-        held.append(row)
-        size += len(row[1]) + 150
+        if row[1] not in texts:
+            texts[row[1]] = row[1]
+            size += len(row[1])
+        held.append((row[0], texts[row[1]], *row[2:]))
+        size += MEMBER_BYTES
         if size > limit and depth < 20:
             break
     else:
@@ -206,13 +217,17 @@ def _decide(limit: int):
     return run
 
 
+def _normal(text):
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), BLANKS, " ")
+
+
 def _decisions(docs: DataFrame, table_bytes: int, carry: bool) -> tuple[DataFrame, DataFrame]:
-    text = F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), BLANKS, " ")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), *[whole_row(docs)] * carry)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _normal(docs["text"]).alias("text"), *[whole_row(docs)] * carry)
     rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text", *["row"] * carry)
-    schema = FOLDED + (f", row {row_type(rows)}" if carry else "")
-    folded = written(rows.mapInArrow(_fold(table_bytes, carry), schema), "folded")
-    firsts = folded.filter("first").select("hash", "text", "doc_id", "gid", "rows").repartition("hash")
+    folded = written(rows.mapInArrow(_fold(table_bytes, carry), row_schema(rows, FOLDED) if carry else FOLDED + ", text string"), "folded")
+    # a carried row has its text: a second copy would be as large as all else that is written
+    text = _normal(F.col("row")["text"]) if carry else F.col("text")
+    firsts = folded.filter("first").select("hash", text.alias("text"), "doc_id", "gid", "rows").repartition("hash")
     return folded, written(firsts.mapInArrow(_decide(table_bytes), DECIDED), "decided")
 
 

@@ -10,11 +10,14 @@ Candidates.  Texts that are equal are one class beforehand.  Registers are bande
 that few texts share gives all their pairs, one that many share gives each text's pairs
 with three pivots: the text that shares most bands with others, and two more.  Pairs are
 verified with the exact probability Jaccard similarity of whole texts and joined to
-components by label propagation.  Bands of many texts that still fall into several
-components are then done exactly: every text outside the band's largest component is
-compared with all texts of other components, a block of the band at a time, in memory;
-no pairs are written.  Texts that are connected already need no comparing, so no link
-between different classes is lost.
+components by label propagation.  Texts of bands that still fall into several components
+are then done exactly.  Two similar texts lack less than a fifth of their weight in each
+other, so the first shingle that they share, rarest first, is among those that make up the
+first fifth of either: texts of different components are compared if they share one of
+these, a block of texts at a time, in memory; no pairs are written, and a text goes only
+to the blocks that have such a shingle, the one of the smaller component to that of the
+larger.  Texts that are connected already need no comparing, so no link between different
+classes is lost.
 
 Result: a row for each document with its class, which is the smallest doc_id of it.
 
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import blocks
-from .shared import whole_row, written
+from .shared import Tables, whole_row
 from .words import mixed, shingles, word_hashes
 
 BANDS, ROWS = 25, 5
@@ -42,8 +45,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A band of at most so many texts gives all their pairs.
 FEW = 8
-#: Texts of a band that are compared at once.
+#: Texts that are held at once and compared with others.
 BLOCK = 256
+#: Counters by which shingles are put in order, rarest first.
+COUNTERS = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,18 +137,19 @@ SETS = "node long, elements binary, weights binary"
 
 
 def _sets(batches):
-    """Distinct shingles of each text in ascending order, and their numbers."""
+    """Distinct shingles of each text in ascending order, and their numbers: empty where all are 1."""
     for batch in batches:
         at = 0
         for _, part in blocks(batch.column("text").cast(pa.large_string()), 2 << 20):
             hashes, counts = word_hashes(part)
             found = [weighted(hashes[e - n : e]) for e, n in zip(np.cumsum(counts), counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(part)), pa.array([u.tobytes() for u, _ in found], pa.binary()), pa.array([c.astype(np.int64).tobytes() for _, c in found], pa.binary())], names=["node", "elements", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(part)), pa.array([u.tobytes() for u, _ in found], pa.binary()), pa.array([c.astype(np.int64).tobytes() if (c > 1).any() else b"" for _, c in found], pa.binary())], names=["node", "elements", "weights"])
             at += len(part)
 
 
 def _set(elements: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(elements, np.uint64), np.frombuffer(weights, np.int64)
+    found = np.frombuffer(elements, np.uint64)
+    return found, np.frombuffer(weights, np.int64) if weights else np.ones(len(found), np.int64)
 
 
 def _verify(similarity: float):
@@ -164,7 +170,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 
 class Block:
-    """Some texts of a band, with an index from shingles to those that have them."""
+    """Some texts, with an index from shingles to those that have them."""
 
     def __init__(self, labels: list[int], sets: list[tuple[np.ndarray, np.ndarray]], similarity: float):
         self.labels, self.sets, self.similarity = np.array(labels, dtype=np.int64), sets, similarity
@@ -207,14 +213,14 @@ class Block:
 
 
 def _blocks(similarity: float):
-    """Rows in order of key, part and outer: those of a block first, then those that are compared with it."""
+    """Rows in order of part and outer: the texts of a block first, then those that are compared with it."""
 
     def run(batches):
         at, held, block, found = None, [], None, set()
         for batch in batches:
-            for key, part, outer, label, elements, weights in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "outer", "label", "elements", "weights"))):
-                if (key, part) != at:
-                    at, held, block = (key, part), [], None
+            for part, outer, label, elements, weights in zip(*(batch.column(c).to_pylist() for c in ("part", "outer", "label", "elements", "weights"))):
+                if part != at:
+                    at, held, block = part, [], None
                 if not outer:
                     held.append((label, _set(elements, weights)))
                 elif held:
@@ -233,74 +239,146 @@ def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def _counted(batches):
+    """How many texts have the shingles of each counter."""
+    n = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for elements in batch.column("elements"):
+            np.add.at(n, (np.frombuffer(elements.as_py(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["counter", "n"])
+
+
+def prefix(one: tuple[np.ndarray, np.ndarray], counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a text whose weight is over what a similar text may lack: the first that the two share is among them."""
+    e, w = one
+    order = np.lexsort((e, counts[(e % np.uint64(len(counts))).astype(np.int64)]))
+    total = np.cumsum(w[order])
+    return e[order[: 1 + int(np.searchsorted(total, (1 - similarity + 1e-9) * total[-1], side="right"))]] if len(e) else e
+
+
+def _prefixes(counts: np.ndarray, similarity: float):
+    """A row for each shingle of a text's prefix, those that no other text has left out."""
+
+    def run(batches):
+        for batch in batches:
+            found = [prefix(_set(e.as_py(), w.as_py()), counts, similarity) for e, w in zip(batch.column("elements"), batch.column("weights"))]
+            found = [x[counts[(x % np.uint64(COUNTERS)).astype(np.int64)] > 1] for x in found]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            elements = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "part", "size", "label")), pa.array(elements)], names=["node", "part", "size", "label", "element"])
+
+    return run
+
+
+def between(nodes: DataFrame, sets: DataFrame, similarity: float, t: Tables) -> DataFrame:
+    """``a, b``: links between the labels of ``nodes`` (``node, label``) that connect all that are similar."""
+    nodes = t.write(nodes, "crowded")
+    parts = max(1, -(-nodes.count() // BLOCK))
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("size"))
+    texts = nodes.join(sizes, "label").join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
+    texts = t.write(texts.select("node", "part", "size", "label", "elements", "weights"), "texts")
+    counts = np.zeros(COUNTERS, dtype=np.int32)
+    found = texts.select("elements").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()  # at most COUNTERS rows
+    counts[np.asarray(found["counter"])] = np.minimum(np.asarray(found["n"]), 1 << 30)
+    rare = t.write(texts.mapInArrow(_prefixes(counts, similarity), "node long, part long, size long, label long, element long"), "prefixes")
+    # the larger component first
+    place = F.struct(-F.col("size"), "label")
+    blocks_ = rare.groupBy("element", F.col("part").alias("to")).agg(F.min(place).alias("first"))
+    met = rare.join(blocks_, "element").filter(F.col("first") < place).select("node", F.col("to").alias("part")).distinct()
+    outer = met.join(texts.drop("part"), "node").select("part", F.lit(True).alias("outer"), "label", "elements", "weights")
+    # a block that nothing is sent to is not read
+    inner = texts.join(met.select("part").distinct(), "part", "left_semi").select("part", F.lit(False).alias("outer"), "label", "elements", "weights")
+    ordered = inner.unionAll(outer).repartition("part").sortWithinPartitions("part", "outer")
+    links = t.write(ordered.mapInArrow(_blocks(similarity), "a long, b long").distinct(), "label-links")
+    t.drop("crowded", "texts", "prefixes")
+    return links
+
+
+def components(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     """``node, label``: the smallest node that each node of the links is connected to."""
-    both = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    t = tables or Tables(links.sparkSession)
+    both = t.write(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    labels = t.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "jump")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("was"))
-        least = written(least, "labels")
+        least = t.write(least, "least")
         # a label's own label: halves the way each time
         jump = least.join(least.select(F.col("node").alias("next"), F.col("next").alias("far")), "next").select("node", F.least("next", "far").alias("label"), "was")
-        jump = written(jump, "labels")
+        jump = t.write(jump, "jump")
         if jump.filter("label <> was").isEmpty():
+            t.drop("both", "least")
             return jump.select("node", "label")
         labels = jump.select("node", "label")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, keep_digest: bool = False) -> DataFrame:
-    """``doc_id, class_id, class_size, kept``, one row for each row of ``docs``."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
-    signed = written(docs.select("doc_id", "digest", "text").mapInArrow(_sign(bands, rows), "doc_id long, digest binary, keys array<long>"), "signed")
-
+def _decided(docs: DataFrame, similarity: float, bands: int, rows: int) -> tuple[DataFrame, bool, Tables]:
+    """``doc_id, digest, class_id, class_size, kept`` for each row; whether rows repeat an id and its text; the tables that stay."""
+    t = Tables(docs.sparkSession)
+    signed = t.write(docs.select("doc_id", "digest", "text").mapInArrow(_sign(bands, rows), "doc_id long, digest binary, keys array<long>"), "signed")
     repeats = not signed.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty()
 
     # a node for each different text
     equal = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    nodes = written(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = t.write(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
     places = nodes.select("node", F.explode("keys").alias("key"))
-    crowd = written(places.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1"), "bands")
-    members = written(places.join(crowd, "key").select("key", "node", "n", "low", "high"), "members")
+    crowd = t.write(places.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1"), "crowd")
+    members = t.write(places.join(crowd, "key").select("key", "node", "n", "low", "high"), "members")
+    t.drop("crowd")
     wanted = members.select("node").distinct()
-    rows_of = written(nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("n_id"), F.col("digest").alias("n_digest")), "wanted")
+    rows_of = t.write(nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("n_id"), F.col("digest").alias("n_digest")), "wanted")
     # by a shuffle at every size: what is wanted grows with the texts
     texts = docs.join(rows_of.hint("merge"), docs["doc_id"].eqNullSafe(F.col("n_id")) & (docs["digest"] == F.col("n_digest"))).select("node", "text")
     # rows that repeat an id and its text would be there twice
-    sets = written(texts.mapInArrow(_sets, SETS).dropDuplicates(["node"]) if repeats else texts.mapInArrow(_sets, SETS), "sets")
+    sets = t.write(texts.mapInArrow(_sets, SETS).dropDuplicates(["node"]) if repeats else texts.mapInArrow(_sets, SETS), "sets")
+    t.drop("wanted")
 
     few = members.filter(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     few = few.select("nodes", F.posexplode("nodes").alias("p", "a")).select("a", F.explode(F.expr("slice(nodes, p + 2, size(nodes))")).alias("b"))
     many = members.filter(F.col("n") > FEW)
     central = members.groupBy("node").agg(F.sum("n").alias("c"))
-    hubs = written(many.select("key", "node").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node"))["node"].alias("hub")), "hubs")
+    hubs = t.write(many.select("key", "node").join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node"))["node"].alias("hub")), "hubs")
     pivots = many.join(hubs, "key").select("node", F.explode(F.array_distinct(F.array("hub", "low", "high"))).alias("pivot")).filter("node <> pivot")
-    pairs = few.unionAll(pivots.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))).distinct()
-    links = written(verified(written(pairs, "pairs"), sets, similarity), "links")
-    labels = components(links)
+    pairs = t.write(few.unionAll(pivots.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))).distinct(), "pairs")
+    labels = components(t.write(verified(pairs, sets, similarity), "links"), t)
+    t.drop("hubs", "pairs", "links")
+    labels = t.write(labels, "labels")
 
     # bands of many texts that fall into several components
-    placed = written(many.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "placed")
-    groups = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
-    split = written(groups.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("key", "top"), "split")
+    placed = t.write(many.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
+    t.drop("members")
+    split = t.write(placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"), "split")
     if not split.isEmpty():
-        of = placed.join(split, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-        inner = of.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("outer"), "node", "label")
-        outer = of.filter("label <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("outer"), "node", "label")
-        rows_in = inner.unionAll(outer).join(sets, "node").select("key", "part", "outer", "label", "elements", "weights")
-        ordered = rows_in.repartition("key", "part").sortWithinPartitions("key", "part", "outer")
-        found = written(ordered.mapInArrow(_blocks(similarity), "a long, b long").distinct(), "label-links")
-        joined = components(found).select(F.col("node").alias("label"), F.col("label").alias("final"))
-        labels = labels.join(joined, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("final", "label").alias("label"))
-        labels = written(labels, "labels")
+        found = between(placed.join(split, "key", "left_semi").select("node", "label").distinct(), sets, similarity, t)
+        joined = t.write(components(found, t).select(F.col("node").alias("label"), F.col("label").alias("final")), "joined")
+        t.drop("label-links")
+        # a text that nothing linked before is its own label
+        alone = joined.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("final").alias("label"))
+        labels = labels.join(joined, "label", "left").select("node", F.coalesce("final", "label").alias("label")).unionAll(alone)
+        labels = t.write(labels, "labels")
+        t.drop("joined")
+    t.drop("placed", "split", "jump", "sets")
 
     classes = nodes.join(labels, "node", "left").select("digest", "doc_id", "n", F.coalesce("label", "node").alias("label"))
-    classes = written(classes, "classes")
-    heads = written(classes.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("head")), "heads")
-    decided = written(classes.join(heads, "label").select("digest", F.col("doc_id").alias("first_id"), "class_id", "class_size", (F.col("digest") == F.col("head.digest")).alias("leads")), "decided")
-    rows_ = signed.select("doc_id", "digest").join(decided, "digest")
-    return rows_.select("doc_id", "class_id", "class_size", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("kept"), *["digest"] * keep_digest)
+    classes = t.write(classes, "classes")
+    t.drop("nodes", "labels")
+    heads = t.write(classes.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("head")), "heads")
+    decided = t.write(classes.join(heads, "label").select("digest", F.col("doc_id").alias("first_id"), "class_id", "class_size", (F.col("digest") == F.col("head.digest")).alias("leads")), "decided")
+    t.drop("classes", "heads")
+    kept = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    return signed.select("doc_id", "digest").join(decided, "digest").select("doc_id", "digest", "class_id", "class_size", kept.alias("kept")), repeats, t
+
+
+def _digested(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"), whole_row(docs))
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, class_id, class_size, kept``, one row for each row of ``docs``."""
+    decided, _, _ = _decided(_digested(docs).drop("row"), similarity, bands, rows)
+    return decided.drop("digest")
 
 
 def kept_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -308,9 +386,10 @@ def kept_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     A row is known by its id and text; rows that repeat both are folded to one.
     """
-    decided = near_classes(docs, similarity, keep_digest=True)
-    stay = written(decided.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")).distinct(), "kept")
-    keyed = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("digest"))
-    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col("k_id")) & (keyed["digest"] == F.col("k_digest")), "left_semi")
-    repeats = not keyed.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty()
+    keyed = _digested(docs)
+    decided, repeats, t = _decided(keyed.drop("row"), similarity, BANDS, ROWS)
+    stay = t.write(decided.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")), "kept")
+    t.drop("signed", "decided")
+    # by a shuffle at every size: what stays grows with the texts
+    found = keyed.select("row", "doc_id", "digest").join(stay.hint("merge"), keyed["doc_id"].eqNullSafe(F.col("k_id")) & (keyed["digest"] == F.col("k_digest")), "left_semi")
     return (found.dropDuplicates(["doc_id", "digest"]) if repeats else found).select("row.*")
