@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, unit_hash, whole_row
+from .shared import BLANKS, unit_hash, whole_row, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -44,17 +44,29 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     return found.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``size, source_size, target, rate, copies``; every row stays, those with no copy too."""
-    made = ("size", "source_size", "target", "rate", "copies")
-    sized = docs.drop(*made).withColumn("size", n_words(F.col("text")))
-    per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    per_source = per_source.select(F.col("source").alias("_source"), "source_size", "target")
+MADE = ("size", "source_size", "target", "rate", "copies")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size`` in a table of their own, so that a plan reads each text once."""
+    return written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: str = SEED, size: str | None = None) -> DataFrame:
+    """``docs`` with ``size, source_size, target, rate, copies``; every row stays, those with no copy too.
+
+    ``size`` names a column that has the sizes already.
+    """
+    counted = F.col(size) if size else n_words(F.col("text"))
+    rows = docs.select(whole_row(docs), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), counted.alias("size"))
+    per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    # written, so that its size is known when the join is planned: rows are not shuffled for a few sources
+    per_source = written(per_source.select(F.col("source").alias("of"), "source_size", "target"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor("rate")
-    extra = (unit_hash(seed, "doc_id") < F.col("rate") - whole).cast("long")
-    joined = sized.join(per_source, sized["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
-    return joined.withColumn("rate", rate).withColumn("copies", whole + extra)
+    joined = rows.join(per_source, rows["source"].eqNullSafe(F.col("of")), "left").withColumn("rate", rate)
+    extra = (unit_hash(seed, "doc_id") < F.col("rate") - F.floor("rate")).cast("long")
+    planned = joined.withColumn("copies", F.floor("rate") + extra)
+    return planned.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in MADE), *MADE)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

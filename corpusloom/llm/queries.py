@@ -43,8 +43,8 @@ def op6_grace_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(documents(spark, sf_dir, "doc_id", "source", "text"))
-    return plan.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+    sized = mixing.sized(documents(spark, sf_dir, "doc_id", "source", "text"))
+    return mixing.mix_plan(sized, size="size").selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
 def op8_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,8 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
 r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS rep FROM q)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
-       CASE WHEN rep IS NULL OR rep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN rep <> page_id THEN rep END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+       CASE WHEN rep IS NULL OR rep IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN rep IS DISTINCT FROM page_id THEN rep END AS refers_to, CAST(NULL AS VARCHAR) AS problem
 FROM r
 """
 
