@@ -18,6 +18,8 @@ none, are scored row by row; an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import blocks
-from .shared import row_type, whole_row
+from .shared import row_schema, whole_row
 
 PASSAGE = 1024
 SAMPLE = 3000
@@ -33,6 +35,8 @@ HIDDEN, GATES = 24, 12
 EPOCHS = 150
 THRESHOLD = 0.3
 SEED = 11
+#: Passages that are encoded at once, padded with zeros, and decimals of a logit.
+SHAPE, DIGITS = 512, 9
 
 
 def _classes() -> np.ndarray:
@@ -112,9 +116,9 @@ class AttentionBag:
         self.p = {"w1": init(width, hidden), "b1": np.zeros(hidden, np.float32), "v": init(hidden, gates), "u": init(hidden, gates), "wa": init(gates, 1)[:, 0], "w": init(hidden, 1)[:, 0], "b": np.zeros(1, np.float32)}
         self.constant: float | None = None
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray, p: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Encodings, both gates and the attention logit of each passage."""
-        p = self.p
+        p = p or self.p
         h = np.tanh((x - self.mean) / self.scale @ p["w1"] + p["b1"])
         t, s = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"])))
         return h, t, s, (t * s) @ p["wa"]
@@ -126,40 +130,52 @@ class AttentionBag:
         return e / np.repeat(np.add.reduceat(e, first), counts)
 
     def scores(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The same for a text wherever it stands: passages go through in blocks of one shape, in double precision, and logits are rounded."""
         if self.constant is not None:
             return np.full(len(counts), self.constant)
-        parts = [self.encode(x[at : at + 4096]) for at in range(0, len(x), 4096)]
-        h, e = np.concatenate([q[0] for q in parts]), np.concatenate([q[3] for q in parts])
+        p = {k: v.astype(np.float64) for k, v in self.p.items()}
+        h, e = np.empty((len(x), len(p["b1"]))), np.empty(len(x))
+        for at in range(0, len(x), SHAPE):
+            part = x[at : at + SHAPE]
+            block = np.zeros((SHAPE, x.shape[1]))
+            block[: len(part)] = part
+            h_, _, _, e_ = self.encode(block, p)
+            h[at : at + SHAPE], e[at : at + SHAPE] = h_[: len(part)], e_[: len(part)]
         z = np.add.reduceat(h * self.attention(e, counts)[:, None], np.cumsum(counts) - counts)
-        return 1 / (1 + np.exp(-(z @ self.p["w"] + self.p["b"][0]).astype(np.float64)))
+        logit = np.round((z * p["w"]).sum(axis=1) + p["b"][0], DIGITS)
+        return np.round(1 / (1 + np.exp(-logit)), 12)
 
     def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, decay: float = 1e-4) -> AttentionBag:
         if len(y) == 0 or len(np.unique(y > 0.5)) < 2:
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.02
-        p, first = self.p, np.cumsum(counts) - counts
+        p = self.p
         m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
         xs = (x - self.mean) / self.scale
         for step in range(1, epochs + 1):
-            h, t, s, e = self.encode(x)
-            a = self.attention(e, counts)
-            z = np.add.reduceat(h * a[:, None], first)
-            d = ((1 / (1 + np.exp(-(z @ p["w"] + p["b"][0]))) - y) / len(y)).astype(np.float32)
-            dz = np.repeat(d[:, None] * p["w"], counts, axis=0)
-            da = (h * dz).sum(axis=1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, first), counts))
-            dg = de[:, None] * p["wa"]
-            dt, ds = dg * s * (1 - t**2), dg * t * s * (1 - s)
-            dh = (a[:, None] * dz + dt @ p["v"].T + ds @ p["u"].T) * (1 - h**2)
-            grads = {"w1": xs.T @ dh, "b1": dh.sum(axis=0), "v": h.T @ dt, "u": h.T @ ds, "wa": (t * s).T @ de, "w": z.T @ d, "b": np.array([d.sum()])}
-            for k, g in grads.items():
+            for k, g in self.gradients(x, xs, counts, y).items():
                 g = g + decay * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g**2
                 p[k] = (p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
+    def gradients(self, x: np.ndarray, xs: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy; ``xs`` is ``x`` less the mean, over the scale."""
+        p, first = self.p, np.cumsum(counts) - counts
+        h, t, s, e = self.encode(x)
+        a = self.attention(e, counts)
+        z = np.add.reduceat(h * a[:, None], first)
+        d = ((1 / (1 + np.exp(-(z @ p["w"] + p["b"][0]))) - y) / len(y)).astype(x.dtype)
+        dz = np.repeat(d[:, None] * p["w"], counts, axis=0)
+        da = (h * dz).sum(axis=1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, first), counts))
+        dg = de[:, None] * p["wa"]
+        dt, ds = dg * s * (1 - t**2), dg * t * s * (1 - s)
+        dh = (a[:, None] * dz + dt @ p["v"].T + ds @ p["u"].T) * (1 - h**2)
+        return {"w1": xs.T @ dh, "b1": dh.sum(axis=0), "v": h.T @ dt, "u": h.T @ ds, "wa": (t * s).T @ de, "w": z.T @ d, "b": np.array([d.sum()])}
+
 
 def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)) == 0
@@ -169,7 +185,8 @@ def _featured(batches):
     for batch in batches:
         x, counts = passages(batch.column("text"))
         ends = np.concatenate([[0], np.cumsum(counts)]) * WIDTH
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.ravel()))], names=["doc_id", "quality", "x"])
+        # rows that repeat an id come in the order of their features, so that the same rows give the same network
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([zlib.crc32(x[a:b].tobytes()) for a, b in zip(ends[:-1] // WIDTH, ends[1:] // WIDTH)], pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.ravel()))], names=["doc_id", "quality", "crc", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionBag:
@@ -178,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
     drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of two numbers
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text")
-    got = texts.mapInArrow(_featured, "doc_id long, quality float, x array<float>").toArrow().sort_by("doc_id")
+    got = texts.mapInArrow(_featured, "doc_id long, quality float, crc long, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("crc", "ascending")])
     x = got["x"].combine_chunks()
     sizes = np.diff(np.asarray(x.offsets, dtype=np.int64)) // WIDTH
     values = np.asarray(x.flatten(), dtype=np.float32).reshape(-1, WIDTH)
@@ -210,5 +227,5 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model
     """``docs``' rows whose score is at least ``threshold``, with all their columns."""
     model = model or train(docs, labels)
     rows = docs.select(whole_row(docs), docs["text"].cast("string").alias("text"))
-    scored = rows.mapInArrow(_scored(model), f"row {row_type(rows)}, score double")
+    scored = rows.mapInArrow(_scored(model), row_schema(rows, after="score double"))
     return scored.filter(F.col("score") >= threshold).select("row.*")
