@@ -6,11 +6,13 @@ to a bounded sample (``SAMPLE`` vectors, those with the smallest hash of their i
 to the residuals that the ones before it leave.  The index holds every vector's codes and
 its norm beside the vector, in id order.
 
-A search takes the queries in blocks of ``QUERY_BLOCK``, whose size bounds what is
-broadcast.  For a block, each task adds up the products of the queries with all codewords
-by table lookup, divides by the stored norms, keeps the ``RERANK`` best of its part of
-the index for each query, and reranks them with the original vectors in double precision;
-the best of all parts are then taken.
+A search deals index and queries to cells: the index to parts of about ``PART`` vectors,
+the queries to blocks of ``QUERY_BLOCK``, and every cell gets one part and one block, so
+that nothing passes through the driver and no task holds more than one of either.  A cell
+adds up the products of its queries with all codewords by table lookup, divides by the
+stored norms, keeps the ``RERANK`` best of its part for each query, and reranks them with
+the original vectors in double precision; the best of all parts are then taken.  Which
+part a vector is in depends on its id alone, so a rerun finds the same.
 
 Cases: vectors that are null, zero, of another length than the sample's, or hold null or
 non-finite components (or a null id) take no part, as query or candidate; equal scores go to the smaller
@@ -23,15 +25,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
 
 BOOKS, WORDS, BEAM = 8, 256, 4
 SAMPLE = 16_384
-QUERY_BLOCK = 2048
-RERANK = 128
+#: Queries and vectors of a cell, and how many of its vectors are reranked for a query.
+QUERY_BLOCK, PART = 16_384, 8192
+RERANK = 256
 SEED = 7
 
 
@@ -135,60 +138,74 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))]
 
 
-def _search(query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int):
+def _scan(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, rerank: int):
+    """(query, candidate, score) of the k nearest in one part of the index; ``q`` and ``x`` are unit vectors, ``ids`` ascend."""
+    norms = np.where(norms > 0, norms, 1).astype(np.float32)
+    for a in range(0, len(query_ids), 64):
+        tables = np.einsum("qd,mkd->mqk", q[a : a + 64].astype(np.float32), books)
+        looked = tables[0][:, codes[:, 0]].copy()
+        for m in range(1, len(books)):
+            looked += tables[m][:, codes[:, m]]
+        looked /= norms
+        looked[query_ids[a : a + 64, None] == ids] = -np.inf
+        for j, row in enumerate(looked, a):
+            near = _best(row, ids, rerank)
+            near = near[row[near] > -np.inf]
+            # an exact sum of its own for each pair: equal vectors get equal scores wherever they are
+            exact = (x[near] * q[j]).sum(axis=1)
+            for t in _best(exact, ids[near], k).tolist():
+                yield int(query_ids[j]), int(ids[near[t]]), float(exact[t])
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _cells(books: np.ndarray, k: int, rerank: int):
+    """Rows in order of cell, queries first, and id: each cell's best."""
+
+    def found(held: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(held).combine_chunks().to_batches()[0]
+        asks = np.asarray(rows.column("asks").cast(pa.uint8())).astype(bool)
+        ids, x = np.asarray(rows.column("vec_id")), unit(_matrix(rows.column("v")))
+        own = rows.filter(pa.array(~asks))
+        out = []
+        if asks.any() and own.num_rows:
+            codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(own.num_rows, -1)
+            out = list(_scan(ids[asks], x[asks], ids[~asks], x[~asks], codes, np.asarray(own.column("norm")), books, k, rerank))
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
     def run(batches):
-        q = unit(queries)
-        tables = np.einsum("qd,mkd->mqk", q.astype(np.float32), books)
-        held: list[list] = [[] for _ in query_ids]  # (score, id) found so far
+        cell, held = None, []
         for batch in batches:
-            ids, x = np.asarray(batch.column("vec_id")), _matrix(batch.column("v"))
-            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            x = unit(x)
-            norms = np.asarray(batch.column("norm"), dtype=np.float32)
-            norms = np.where(norms > 0, norms, 1)
-            for a in range(0, len(query_ids), 64):
-                looked = tables[0, a : a + 64][:, codes[:, 0]].copy()
-                for m in range(1, len(books)):
-                    looked += tables[m, a : a + 64][:, codes[:, m]]
-                looked /= norms
-                looked[query_ids[a : a + 64, None] == ids] = -np.inf
-                for j, row in enumerate(looked, a):
-                    near = _best(row, ids, rerank)
-                    near = near[row[near] > -np.inf]
-                    exact = x[near] @ q[j]
-                    # an exact sum of its own for each pair: equal vectors get equal scores wherever they are
-                    top = near[_best(exact, ids[near], k + 8)]
-                    held[j] += [(float((x[t] * q[j]).sum()), int(ids[t])) for t in top]
-                    held[j] = sorted(held[j], key=lambda s: (-s[0], s[1]))[:k]
-        out = [(int(query_ids[j]), i, s) for j, own in enumerate(held) for s, i in own]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+            cells = np.asarray(batch.column("cell"))
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and cells[a] != cell:
+                    yield found(held)
+                    held = []
+                cell = int(cells[a])
+                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+        if held:
+            yield found(held)
 
     return run
 
 
-def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: int = 5, rerank: int = RERANK, block: int = QUERY_BLOCK) -> DataFrame:
+def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: int = 5, rerank: int = RERANK, block: int = QUERY_BLOCK, part: int = PART) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest by cosine of each row of ``queries`` (of the index), itself left out."""
-    spark = index.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if books is None:
-        return empty
-    n = queries.count()
-    numbered = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // block)))).alias("block"))
-    found = []
-    for b in range(-(-n // block)):
-        part = numbered.filter(F.col("block") == b).toArrow()
-        vectors = part["v"].combine_chunks()
-        vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
-        if part.num_rows:
-            found.append(index.mapInArrow(_search(np.asarray(part["vec_id"]), _matrix(vectors), books, k, rerank), "query_id long, vec_id long, score double"))
-    if not found:
-        return empty
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
+        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    blocks_, parts = (max(1, -(-df.count() // n)) for df, n in ((queries, block), (index, part)))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asks = queries.select("vec_id", "v", dealt(blocks_).alias("b")).withColumn("p", every(parts)).select((F.col("p") * blocks_ + F.col("b")).alias("cell"), F.lit(True).alias("asks"), "vec_id", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"), "v")
+    own = index.select("vec_id", "codes", "norm", "v", dealt(parts).alias("p")).withColumn("b", every(blocks_)).select((F.col("p") * blocks_ + F.col("b")).alias("cell"), F.lit(False).alias("asks"), "vec_id", "codes", "norm", "v")
+    cells = asks.unionAll(own).repartition(blocks_ * parts, "cell").sortWithinPartitions("cell", F.desc("asks"), "vec_id")
+    found = cells.mapInArrow(_cells(books, k, rerank), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
