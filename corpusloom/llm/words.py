@@ -14,6 +14,10 @@ MARKS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 PLACES = _rng.integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
 STEPS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
+#: An odd number and its inverse among 64-bit numbers.
+ODD = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
@@ -73,6 +77,14 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def spans(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words of each span, whatever its place: differences of a polynomial's prefix sums, divided by the power of the place."""
+    powers = np.cumprod(np.full(len(hashes) + 1, ODD, dtype=np.uint64)) * INVERSE
+    inverse = np.cumprod(np.full(len(hashes) + 1, INVERSE, dtype=np.uint64)) * ODD
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:-1], dtype=np.uint64)])
+    return mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
 def shingles(hashes: np.ndarray, n: int = 5) -> np.ndarray:
     """Of one text: a hash of each ``n`` neighbouring words, of all its words if there are fewer, none if there are none."""
     return runs(hashes, min(n, len(hashes))) if len(hashes) else hashes
