@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, mil, mixing
 
@@ -59,6 +60,10 @@ def test_mix(spark):
     assert out.columns == df.columns and out.filter("size <> 'clash'").count() == 0
     assert out.count() == plan.copies.sum() == mixing.mixed(df.repartition(7)).count()
     assert mixing.mixed(df.limit(0)).count() == 0 and mixing.mix_plan(df.limit(0)).count() == 0
+    odd = df.limit(5).withColumns({c: F.lit("own") for c in ("_source", "of", "counted", "a.b")})
+    assert mixing.mixed(odd).columns == odd.columns and mixing.mix_plan(odd).filter("_source <> 'own' OR of <> 'own' OR `a.b` <> 'own'").count() == 0
+    narrow = mixing.mix_plan(mixing.sized(df), size="size").toPandas()
+    assert sorted(zip(narrow["size"], narrow.target, narrow.copies)) == sorted(zip(plan["size"], plan.target, plan.copies))
 
 
 def test_mix_is_native(spark):
@@ -93,6 +98,9 @@ def test_held_out_documents_are_told_apart(spark):
     assert ((got.score >= 0.3).astype(int) == got.predicted).all()
     same = got[got.doc_id == 3].score
     assert len(same) == 2 and same.nunique() == 1
+    again = mil.quality(df.repartition(5, "text"), labels).toPandas()
+    key = lambda pdf: sorted(zip(pdf.doc_id.fillna(-1), pdf.score))
+    assert key(again) == key(got)
     kept = mil.kept(df, labels)
     assert kept.columns == df.columns and kept.count() == got.predicted.sum()
     assert mil.quality(df.limit(0), labels).count() == 0
@@ -113,7 +121,7 @@ def test_passages_cover_whole_texts():
     assert np.allclose(x[5:10], alone)
 
 
-def test_gradients():
+def test_training_lowers_the_loss():
     rng = np.random.default_rng(0)
     x, counts, y = rng.random((7, 5)).astype(np.float32), np.array([3, 1, 3]), np.array([1.0, 0.0, 1.0], np.float32)
     net = mil.AttentionBag(5, 4, 3, seed=1)
@@ -125,6 +133,80 @@ def test_gradients():
     assert np.add.reduceat(a, [0, 3, 4]) == pytest.approx([1, 1, 1])
 
 
+def plain_passage(part):
+    """Features of a passage, byte by byte."""
+    pairs, bins, words, word = np.zeros(256), np.zeros(mil.WORD_BINS), [], None
+    for i, byte in enumerate(part):
+        if i:
+            pairs[mil.CLASSES[part[i - 1]] * 16 + mil.CLASSES[byte]] += 1
+        if mil.CLASSES[byte] in (4, 5):
+            word = None
+        elif word is None:
+            words.append(int(mil.MARKS[byte]))
+            word = True
+        else:
+            words[-1] += int(mil.MARKS[byte])
+    words = [((w + (1 << 63)) % (1 << 64)) - (1 << 63) for w in words]  # as 64 bits go round
+    for w in words:
+        bins[((((w * 0x9E3779B97F4A7C1) + (1 << 63)) % (1 << 64) - (1 << 63)) >> 40) % mil.WORD_BINS] += 1
+    x = np.zeros(8)
+    if words:
+        n = len(words)
+        x[0], x[1] = sum(a == b for a, b in zip(words, words[1:])) / n, sum(a == b for a, b in zip(words, words[2:])) / n
+        x[2], x[3], x[4], x[5] = bins.max() / n, ((bins / n) ** 2).sum(), (bins > 0).sum() / min(mil.WORD_BINS, n), n / len(part)
+    x[6], x[7] = (pairs > 0).sum() / 256, math.log1p(len(part)) / 7
+    return np.concatenate([np.sqrt(pairs / max(1, len(part))), x]).astype(np.float32).astype(float)
+
+
+def plain_score(net, text):
+    """One document at a time, passage by passage."""
+    data, p = (text or "").encode(), net.p
+    encoded = []
+    for at in range(0, max(1, len(data)), mil.PASSAGE):
+        x = (plain_passage(data[at : at + mil.PASSAGE]) - net.mean) / net.scale if data else -net.mean / net.scale
+        h = np.array([math.tanh(sum(x * p["w1"][:, j].astype(float)) + p["b1"][j]) for j in range(len(p["b1"]))])
+        gates = [math.tanh(sum(h * p["v"][:, g])) / (1 + math.exp(-sum(h * p["u"][:, g]))) for g in range(len(p["wa"]))]
+        encoded.append((h, math.exp(sum(gates * p["wa"]))))
+    z = sum(h * a for h, a in encoded) / sum(a for _, a in encoded)
+    return 1 / (1 + math.exp(-(sum(z * p["w"]) + float(p["b"][0]))))
+
+
+def test_scores_against_a_plain_scorer():
+    rows = labelled_texts(120, seed=3)
+    x, counts = mil.passages(pa.array([t for _, t, _ in rows]))
+    net = mil.AttentionBag().fit(x, counts, np.array([q for _, _, q in rows], np.float32), epochs=40)
+    texts = [t for _, t, _ in rows[:12]] + ["", None, "x", " \n ", "é" * 700, "a b " * 900, "1 2 3 | * !"]
+    got = net.scores(*mil.passages(pa.array(texts)))
+    assert got == pytest.approx([plain_score(net, t) for t in texts], abs=1e-6)
+    for order in (texts[::-1], texts[5:] + texts[:5]):
+        again = dict(zip(order, net.scores(*mil.passages(pa.array(order)))))
+        assert [again[t] for t in texts] == got.tolist()
+    assert [net.scores(*mil.passages(pa.array([t])))[0] for t in texts] == got.tolist()
+
+
+def test_gradients():
+    rng = np.random.default_rng(4)
+    x, counts, y = rng.random((9, 5)), np.array([3, 1, 4, 1]), np.array([1.0, 0.0, 1.0, 0.0])
+    net = mil.AttentionBag(5, 4, 3, seed=1)
+    net.p = {k: v.astype(float) + 0.1 * rng.standard_normal(v.shape) for k, v in net.p.items()}
+
+    def loss():
+        h, _, _, e = net.encode(x)
+        z = np.add.reduceat(h * net.attention(e, counts)[:, None], np.cumsum(counts) - counts)
+        s = 1 / (1 + np.exp(-(z @ net.p["w"] + net.p["b"][0])))
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+
+    for k, g in net.gradients(x, (x - net.mean) / net.scale, counts, y).items():
+        for at in np.ndindex(net.p[k].shape):
+            was = net.p[k][at]
+            sides = []
+            for step in (1e-5, -1e-5):
+                net.p[k][at] = was + step
+                sides.append(loss())
+            net.p[k][at] = was
+            assert g[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-7)
+
+
 # --- nearest neighbours ------------------------------------------------------------------------------------------------
 
 
@@ -175,11 +257,27 @@ def test_few_and_no_vectors(spark):
     assert ann.nearest(vectors(spark, [])).count() == 0 and ann.nearest(vectors(spark, [(0, None)])).count() == 0
 
 
+def test_recall_without_clusters(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(12_000, 64)).astype(np.float32)
+    df = vectors(spark, list(enumerate(v)))
+    index, books = ann.build_index(df.repartition(3))
+    want = brute(np.arange(12_000), v.astype(float))
+    for layout in (index, index.coalesce(1), index.repartition(7)):
+        got = ann.search(layout, books, layout.filter("vec_id % 50 = 0")).toPandas()
+        hits = sum(len({i for i, _ in want[q]} & set(own.vec_id)) for q, own in got.groupby("query_id"))
+        assert hits / (5 * 240) >= 0.95
+        rows = sorted(got.itertuples(index=False))
+        assert layout is index or rows == first  # wherever the rows are
+        first = rows
+
+
 def test_queries_in_blocks(spark):
     rng = np.random.default_rng(6)
     index, books = ann.build_index(vectors(spark, list(enumerate(rng.normal(size=(300, 8))))))
     one = ann.search(index, books, index.filter("vec_id % 50 = 0"), block=1000).orderBy("query_id", "rank").collect()
-    assert ann.search(index, books, index.filter("vec_id % 50 = 0"), block=2).orderBy("query_id", "rank").collect() == one
+    for block, part in ((2, 1000), (2, 70), (1000, 40)):
+        assert ann.search(index, books, index.filter("vec_id % 50 = 0"), block=block, part=part).orderBy("query_id", "rank").collect() == one
 
 
 def test_beam_search_codes():
