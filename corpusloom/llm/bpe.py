@@ -75,7 +75,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.direct = plain(json.loads(self.tokenizer.to_str()))
-        self.tokens: dict[str, list[int]] = {}
+        self.tokens: dict[str, tuple[int, ...]] = {}
+        self.ints = list(range(self.tokenizer.get_vocab_size()))  # one object for each id, however many pieces have it
         self.known = {lead: (pa.array([], pa.large_string()), EMPTY) for lead in (" ", "")}
 
     def whole(self, text: str) -> list[int]:
@@ -85,7 +86,7 @@ class Encoder:
         """Ids of each piece, pre-token by pre-token."""
         out: list[int] = []
         sizes = np.zeros(len(words), dtype=np.int64)
-        known, merge, cut = self.tokens, self.tokenizer.model.tokenize if self.direct else None, PRETOKEN.findall
+        known, ints, merge, cut = self.tokens, self.ints, self.tokenizer.model.tokenize if self.direct else None, PRETOKEN.findall
         space = lead and BYTE_CHARS_OF_SPACE
         if len(known) > CACHE_PIECES:
             known.clear()
@@ -101,7 +102,7 @@ class Encoder:
                 for p in cut(lead + w):
                     ids = known.get(p)
                     if ids is None:
-                        ids = known[p] = [t.id for t in merge(p.encode().decode("latin-1").translate(BYTE_CHARS))]
+                        ids = known[p] = tuple([ints[t.id] for t in merge(p.encode().decode("latin-1").translate(BYTE_CHARS))])
                     out += ids
             sizes[i] = len(out) - had
         return lists(np.array(out, dtype=np.int32), sizes)

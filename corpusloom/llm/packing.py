@@ -175,6 +175,8 @@ def _pack(tokenizer: str, end_id: int, tiers: tuple[int, ...], step: int):
                     yield packer.pack(*_joined(held))
                     held, tokens = [], 0
         yield packer.pack(*_joined(held), last=True)
+        held = []
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return run
 
