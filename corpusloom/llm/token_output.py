@@ -43,8 +43,8 @@ LAYOUT = {
     "parquet.enable.dictionary#ids.list.element": "false",
     "compression": "zstd",
 }
-#: Rows given on at once.
-OUT_ROWS = 512
+#: Rows that are encoded and given on at once, at most: pieces that they share are encoded once.
+OUT_ROWS = 1280
 
 _encoders: dict[str, Encoder] = {}
 
@@ -63,8 +63,9 @@ def _encode(path: str, end_id: int):
 
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                piece = batch.slice(at, OUT_ROWS)
+            rows = -(-batch.num_rows // max(1, -(-batch.num_rows // OUT_ROWS)))  # parts of equal size
+            for at in range(0, batch.num_rows, max(1, rows)):
+                piece = batch.slice(at, rows)
                 ids, offsets = encoder(path).encode(piece.column("text"), end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
