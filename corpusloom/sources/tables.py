@@ -41,13 +41,14 @@ def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def split_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of files of any size with ``file`` and ``pos``, split over tasks: ``pos`` rises in the file's order, with gaps.
 
-    A line's ``pos`` is the first byte of its block and its number in the task.  Every line takes more than one byte, so
-    numbers stay under the next block's first byte; a block that shares its task is a file's last one.  Blank lines are
-    passed over, a carriage return at a line's end too.
+    A line's ``pos`` is the first byte of its block and its number in the task, so that of one file of
+    one block it is its number in the file; files that share a task begin higher.  Every line takes a byte at least, so numbers stay under the next block's first byte; a block
+    that shares its task is a file's last one.  Blank lines count and are passed over, as is a carriage return at an end.
     """
-    text = spark.read.option("lineSep", "\n").text(path).filter(F.trim(F.rtrim("value", F.lit("\r"))) != "")
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    text = spark.read.option("lineSep", "\n").text(path)
     rows = text.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("begins"), "value").withColumn("number", number)
+    rows = rows.filter(F.trim(F.rtrim("value", F.lit("\r"))) != "")
     return rows.select("file", (F.col("begins") + F.col("number")).alias("pos"), F.from_json("value", schema).alias("r")).select("file", "pos", "r.*")
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import unicodedata
 
@@ -206,3 +207,17 @@ def test_readers(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "p"))
     tables.rewritten(spark.read.parquet(str(tmp_path / "p")).filter("id > 2"), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+
+
+def test_lines_of_split_files_keep_their_order(spark, tmp_path):
+    texts = [f"line {k} " + "x" * (k * 37 % 90) for k in range(3000)]
+    (tmp_path / "big.jsonl").write_text("".join(json.dumps({"text": t}) + ("\r\n" if k % 7 == 0 else "\n") + "\n" * (k % 5 == 0) for k, t in enumerate(texts)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = tables.mixture(spark, str(tmp_path / "big.jsonl"))
+        assert rows.rdd.getNumPartitions() > 5
+        got = rows.select("pos", "text").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [r["text"] for r in sorted(got, key=lambda r: r["pos"])] == texts and len({r["pos"] for r in got}) == len(texts)
