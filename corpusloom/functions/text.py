@@ -36,7 +36,9 @@ SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
 
 
 def _where_odd(text: Column, exactly, otherwise: Column) -> Column:
-    return F.coalesce(exactly(F.when(text.rlike(unicode.odd()), text)), otherwise)
+    # ASCII alone, told by its length, is never odd
+    odd = (F.octet_length(text) != F.length(text)) & text.rlike(unicode.odd())
+    return F.coalesce(exactly(F.when(odd, text)), otherwise)
 
 
 def folded(text: Column, exact: bool = True) -> Column:
