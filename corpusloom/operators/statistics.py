@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SEED, RESAMPLES, LEVEL = 20260831, 2000, 0.95
 #: Drawn places that are held at once.
 HELD = 1 << 21
+#: Slots of a draw that a row of plain SQL makes at once.
+SLOTS = 1 << 16
 
 
 def bits_per_character(nll: Column, chars: Column) -> Column:
@@ -125,10 +127,14 @@ def congruential_draws(per_text: DataFrame, by: list[str], resamples: int, a: in
     """Draws in plain SQL, for engines without Python's generator: slot ``s`` of draw ``d`` takes place ``(a d + b s + d s) mod n``.
 
     Returns the sums ``nll, chars`` of each group's draws; an equi-join on the place, never all pairs of texts.
+    Places are reckoned in 64 bits, and slots are made ``SLOTS`` at once by all tasks, so that a group may have any number of texts.
     """
+    spark = per_text.sparkSession
     sizes = per_text.groupBy(*by).agg(F.count("*").alias("n"))
-    slots = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    picked = slots.withColumn("pos", F.pmod(F.lit(a) * F.col("draw") + F.lit(b) * F.col("slot") + F.col("draw") * F.col("slot"), F.col("n")).cast("long"))
+    parts = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOTS).cast("long"))))
+    parts = parts.repartition(spark.sparkContext.defaultParallelism, *by, "draw", "begin")
+    slots = parts.withColumn("slot", F.explode(F.sequence("begin", F.least(F.col("begin") + SLOTS, F.col("n")) - 1)))
+    picked = slots.withColumn("pos", F.pmod(F.lit(a).cast("long") * F.col("draw") + (F.lit(b).cast("long") + F.col("draw")) * F.col("slot"), F.col("n"))).drop("begin", "slot")
     return picked.join(per_text.withColumn("pos", F.col("pos").cast("long")), [*by, "pos"]).groupBy(*by, "draw").agg(F.sum("nll").alias("nll"), F.sum("chars").alias("chars"))
 
 

@@ -18,6 +18,15 @@ def test_queries_draw_the_fixed_resamples(spark, monkeypatch, name):
     assert asked == [2000]
 
 
+def test_congruential_draws_of_a_group_whose_places_pass_32_bits(spark, monkeypatch):
+    n, draws = 30_000, 3
+    monkeypatch.setattr(statistics, "SLOTS", 7_000)
+    rows = spark.range(n).selectExpr("'x' AS lang", "id AS pos", "double(id) AS nll", "id + 1 AS chars")
+    got = {r["draw"]: (r["nll"], r["chars"]) for r in statistics.congruential_draws(rows, ["lang"], draws).collect()}
+    places = [[(7919 * d + 104729 * s + d * s) % n for s in range(n)] for d in range(draws)]
+    assert got == {d: (float(sum(p)), sum(p) + n) for d, p in enumerate(places)}
+
+
 def test_draws_in_parts_are_the_same(monkeypatch):
     rng = np.random.default_rng(1)
     nll, chars = rng.random((2, 30)), rng.integers(1, 50, (2, 30))
