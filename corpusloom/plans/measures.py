@@ -231,22 +231,17 @@ def turn_leaks(spark, sf_dir):
 
 @query(f"WITH {CORPUS} SELECT pos, file, text, part AS lang FROM corpus")
 def json_lines(spark, sf_dir):
-    """Documents written as JSON lines and read again, with the file's order."""
-    path = folder(spark, "json-lines")
-    rows = corpus(spark, sf_dir).select("file", "pos", "part", "text", "tokens")
-    rows.select(F.to_json(F.struct("text", "tokens", F.col("file").alias("registre"), "pos", "part")).alias("value")).write.text(path)
-    read = tables.split_lines(spark, path, f"{tables.MIXTURE_DOC}, part string")
-    ids = rows.select("pos", F.md5("text").alias("digest"), F.col("file").alias("registre"))
-    found = read.select(F.col("registre").alias("file"), "text", F.col("part").alias("lang"), F.row_number().over(_within("registre", "text", "file", "pos")).alias("n"))
-    numbered = ids.withColumn("n", F.row_number().over(_within("registre", "digest", "pos")))
-    met = numbered.join(found.withColumn("digest", F.md5("text")), (numbered["registre"] == found["file"]) & (numbered["digest"] == F.md5(found["text"])) & (numbered["n"] == found["n"]))
-    return met.select("pos", "file", "text", "lang")
-
-
-def _within(*columns: str):
+    """Documents written as JSON lines and read again; a line says which document it is, and the order of each file's lines is held against theirs."""
     from pyspark.sql import Window
 
-    return Window.partitionBy(*columns[:2]).orderBy(*columns[2:])
+    path = folder(spark, "json-lines")
+    rows = corpus(spark, sf_dir).select("file", "pos", "part", "text", "tokens").sortWithinPartitions("pos")
+    rows.select(F.to_json(F.struct("text", "tokens", F.col("file").alias("registre"), F.col("pos").alias("doc"), "part")).alias("value")).write.text(path)
+    read = tables.split_lines(spark, path, f"{tables.MIXTURE_DOC}, doc long, part string")
+    before = F.lag("doc").over(Window.partitionBy("file").orderBy("pos"))
+    if not read.select("doc", before.alias("before")).filter("before > doc").isEmpty():
+        raise ValueError("the lines' places are not in their file's order")
+    return read.select(F.col("doc").alias("pos"), F.col("registre").alias("file"), "text", F.col("part").alias("lang"))
 
 
 @query(f"WITH {CORPUS} SELECT md5(text) AS digest, 'part ' || part AS part, file AS source FROM corpus WHERE tokens > 3")
