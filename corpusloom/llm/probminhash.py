@@ -16,7 +16,8 @@ other, so the first shingle that they share, rarest first, is among those that m
 first fifth of either: texts of different components are compared if they share one of
 these, a block of texts at a time, in memory; no pairs are written, and a text goes only
 to the blocks that have such a shingle, the one of the smaller component to that of the
-larger.  Texts that are connected already need no comparing, so no link between different
+larger.  Texts are put into blocks in order of the commonest of these shingles, so that
+texts that share one lie in few blocks.  Texts that are connected already need no comparing, so no link between different
 classes is lost.
 
 Result: a row for each document with its class, which is the smallest doc_id of it.
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import blocks
@@ -258,40 +259,53 @@ def prefix(one: tuple[np.ndarray, np.ndarray], counts: np.ndarray, similarity: f
 
 
 def _prefixes(counts: np.ndarray, similarity: float):
-    """A row for each shingle of a text's prefix, those that no other text has left out."""
+    """A row for each shingle of a text's prefix, those that no other text has left out; its commonest one is its home."""
 
     def run(batches):
         for batch in batches:
             found = [prefix(_set(e.as_py(), w.as_py()), counts, similarity) for e, w in zip(batch.column("elements"), batch.column("weights"))]
             found = [x[counts[(x % np.uint64(COUNTERS)).astype(np.int64)] > 1] for x in found]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            lengths = np.array([len(x) for x in found], dtype=np.int64)
+            at = pa.array(np.repeat(np.arange(len(found)), lengths))
             elements = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "part", "size", "label")), pa.array(elements)], names=["node", "part", "size", "label", "element"])
+            home = np.zeros(len(elements), dtype=bool)
+            home[(np.cumsum(lengths) - 1)[lengths > 0]] = True
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "size", "label")), pa.array(elements), pa.array(home)], names=["node", "size", "label", "element", "home"])
 
     return run
 
 
+def meetings(rare: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
+    """``node, part``: the block of each text that has rows of ``_prefixes``, and the blocks that it is sent to."""
+    homes = rare.filter("home").select("node", F.col("element").alias("home")).repartitionByRange("home", "node").sortWithinPartitions("home", "node")
+    place = F.monotonically_increasing_id()
+    ranged = t.write(homes.select("node", F.shiftrightunsigned(place, 33).alias("task"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ranged")
+    # one row for each task
+    before = ranged.groupBy("task").agg(F.count("*").alias("n")).select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("base"))
+    parts = t.write(ranged.join(F.broadcast(before), "task").select("node", F.floor((F.col("base") + F.col("at")) / F.lit(BLOCK)).alias("part")), "parts")
+    # the larger component first
+    place = F.struct(-F.col("size"), "label")
+    placed = rare.join(parts, "node")
+    blocks_ = placed.groupBy("element", "part").agg(F.min(place).alias("first"))
+    return parts, t.write(rare.join(blocks_, "element").filter(F.col("first") < place).select("node", "part").distinct(), "met")
+
+
 def between(nodes: DataFrame, sets: DataFrame, similarity: float, t: Tables) -> DataFrame:
     """``a, b``: links between the labels of ``nodes`` (``node, label``) that connect all that are similar."""
     nodes = t.write(nodes, "crowded")
-    parts = max(1, -(-nodes.count() // BLOCK))
     sizes = nodes.groupBy("label").agg(F.count("*").alias("size"))
-    texts = nodes.join(sizes, "label").join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
-    texts = t.write(texts.select("node", "part", "size", "label", "elements", "weights"), "texts")
+    texts = t.write(nodes.join(sizes, "label").join(sets, "node").select("node", "size", "label", "elements", "weights"), "texts")
     counts = np.zeros(COUNTERS, dtype=np.int32)
     found = texts.select("elements").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()  # at most COUNTERS rows
     counts[np.asarray(found["counter"])] = np.minimum(np.asarray(found["n"]), 1 << 30)
-    rare = t.write(texts.mapInArrow(_prefixes(counts, similarity), "node long, part long, size long, label long, element long"), "prefixes")
-    # the larger component first
-    place = F.struct(-F.col("size"), "label")
-    blocks_ = rare.groupBy("element", F.col("part").alias("to")).agg(F.min(place).alias("first"))
-    met = rare.join(blocks_, "element").filter(F.col("first") < place).select("node", F.col("to").alias("part")).distinct()
-    outer = met.join(texts.drop("part"), "node").select("part", F.lit(True).alias("outer"), "label", "elements", "weights")
+    rare = t.write(texts.mapInArrow(_prefixes(counts, similarity), "node long, size long, label long, element long, home boolean"), "prefixes")
+    parts, met = meetings(rare, t)
+    outer = met.join(texts, "node").select("part", F.lit(True).alias("outer"), "label", "elements", "weights")
     # a block that nothing is sent to is not read
-    inner = texts.join(met.select("part").distinct(), "part", "left_semi").select("part", F.lit(False).alias("outer"), "label", "elements", "weights")
+    inner = texts.join(parts.join(met.select("part").distinct(), "part", "left_semi"), "node").select("part", F.lit(False).alias("outer"), "label", "elements", "weights")
     ordered = inner.unionAll(outer).repartition("part").sortWithinPartitions("part", "outer")
     links = t.write(ordered.mapInArrow(_blocks(similarity), "a long, b long").distinct(), "label-links")
-    t.drop("crowded", "texts", "prefixes")
+    t.drop("crowded", "texts", "prefixes", "ranged", "parts", "met")
     return links
 
 
