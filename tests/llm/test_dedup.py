@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusloom.llm import chaining, grace, probminhash
-from corpusloom.llm.words import runs, shingles, word_hashes
+from corpusloom.llm.words import runs, shingles, spans, word_hashes
 
 DOC = "doc_id long, text string, row string, gid string, digest string, node string"
 
@@ -354,6 +354,20 @@ def test_texts_with_parts_alone_make_no_passage(spark):
     assert not reported(spark, texts)
 
 
+def test_contexts_of_two_lengths_with_equal_bits(spark):
+    """The contexts of 7 and 8 have the same 32 bits; that of 7 ends with its text.  Far texts come from other blocks."""
+    lead, rest = "a b c d e525".split(), [f"t{i}" for i in range(60)]
+    short, long = lead + "404 552 74 93".split() + rest[:16], lead + "440 307 470 824".split() + rest
+    bits = {int(spans(word_hashes(pa.array([" ".join(w)]))[0], np.array([0]), np.array([n]))[0]) >> 32 for w, n in ((short, 25), (long, 45))}
+    assert len(bits) == 1
+    rng = random.Random(31)
+    texts = {6: lead + words(rng, 30), 7: short, 8: long, 9: words(rng, 9) + long}
+    found = {(8, 9)}
+    assert {(x, r["doc_id"]) for r in reported(spark, texts) for x in r["from_ids"]} == found
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4, "doc_id")
+    assert {(x, r["doc_id"]) for r in chaining.repeated_passages(rows).collect() for x in r["from_ids"]} == found
+
+
 def longest_runs(a, b, least):
     """(begin, begin in the other, length) of the maximal equal runs of two texts."""
     out, before = [], {}
