@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusloom.llm import chaining, grace, probminhash
-from corpusloom.llm.words import runs, shingles, spans, word_hashes
+from corpusloom.llm.words import mixed, runs, shingles, spans, word_hashes
 
 DOC = "doc_id long, text string, row string, gid string, digest string, node string"
 
@@ -357,8 +357,8 @@ def test_texts_with_parts_alone_make_no_passage(spark):
 def test_contexts_of_two_lengths_with_equal_bits(spark):
     """The contexts of 7 and 8 have the same 32 bits; that of 7 ends with its text.  Far texts come from other blocks."""
     lead, rest = "a b c d e525".split(), [f"t{i}" for i in range(60)]
-    short, long = lead + "404 552 74 93".split() + rest[:16], lead + "440 307 470 824".split() + rest
-    bits = {int(spans(word_hashes(pa.array([" ".join(w)]))[0], np.array([0]), np.array([n]))[0]) >> 32 for w, n in ((short, 25), (long, 45))}
+    short, long = lead + "515 573 78 395".split() + rest[:16], lead + "29 557 743 428".split() + rest
+    bits = {int(mixed(spans(word_hashes(pa.array([" ".join(w)]))[0], np.array([0]), np.array([n])))[0]) >> 32 for w, n in ((short, 25), (long, chaining.LEAST))}
     assert len(bits) == 1
     rng = random.Random(31)
     texts = {6: lead + words(rng, 30), 7: short, 8: long, 9: words(rng, 9) + long}
@@ -420,6 +420,68 @@ def test_edited_passages(spark):
     assert found[16] >= 0.95 and found[12] >= 0.9 and found[8] >= 0.7, found
 
 
+def apart(spark, texts, blocks, **options):
+    """``reported`` of texts that lie in so many blocks."""
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    return chaining.repeated_passages(rows.repartition(blocks, "doc_id") if blocks > 1 else rows.coalesce(1), **options).collect()
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+@pytest.mark.parametrize("n_before", [1, 3, 40])
+def test_earlier_texts_with_all_but_a_few_words_hide_no_passage(spark, n_before, blocks):
+    """Of each passage earlier texts hold 45 to 49 words, too few to be named; the two that hold all of it are linked."""
+    rng = random.Random(41)
+    texts, want = {}, set()
+    for k in range(24):
+        p = words(rng, 50 + k % 8)
+        at = 1000 * k
+        for j in range(n_before):
+            cut = rng.randrange(1, len(p) - 44)
+            own = min(len(p), cut + 49)
+            texts[at + j] = words(rng, 20) + p[cut:own] + words(rng, 20) if (k + j) % 2 else words(rng, 20) + p[: len(p) - cut][-49:] + words(rng, 20)
+        texts[at + 900], texts[at + 901] = words(rng, 15) + p + words(rng, 9), words(rng, 6) + p + words(rng, 11)
+        want.add((at + 901, at + 900, 6, 6 + len(p)))
+    rows = apart(spark, texts, blocks)
+    got = {(r["doc_id"], x, r["start_word"], r["end_word"]) for r in rows for x in r["from_ids"]}
+    assert want <= got, len(want - got)
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_edited_copies_are_linked_to_each_other(spark, blocks):
+    """Two late texts are alike beside an original that neither is like; a k-mer's first place alone led to the original."""
+    rng = random.Random(42)
+    texts = {}
+    for k in range(30):
+        p = words(rng, 100)
+        q = [w if at % 7 else "edit%d" % rng.randrange(10**6) for at, w in enumerate(p)]
+        r = [w if at % 20 != 10 else "edit%d" % rng.randrange(10**6) for at, w in enumerate(q)]
+        for j in range(6):  # earlier texts have 20 of its words each, in places that overlap
+            texts[100 * k + j] = words(rng, 30) + q[15 * j : 15 * j + 20] + words(rng, 30)
+        texts[100 * k + 90], texts[100 * k + 91] = words(rng, 12) + q + words(rng, 12), words(rng, 7) + r + words(rng, 16)
+    got = {(r["doc_id"], x): r["n_words"] for r in apart(spark, texts, blocks) for x in r["from_ids"]}
+    assert sum(got.get((100 * k + 91, 100 * k + 90), 0) >= 90 for k in range(30)) == 30
+
+
+@pytest.mark.parametrize("few", [0, 2, 16])
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_every_run_of_least_words_is_in_a_passage(spark, few, blocks):
+    rng = random.Random(few + blocks)
+    pool = [words(rng, rng.randrange(50, 120)) for _ in range(4)]
+    texts = {}
+    for k in range(40):
+        text = words(rng, rng.randrange(30))
+        for _ in range(rng.randrange(1, 4)):
+            p = rng.choice(pool)
+            a = rng.randrange(len(p) - 30)
+            text += p[a : rng.randrange(a + 30, len(p) + 1)] + words(rng, rng.choice([0, 5, 40]))
+        texts[k] = text
+    rows = apart(spark, texts, blocks, few=few)
+    for i in texts:
+        for j in range(i):
+            for begin, _, n in longest_runs(texts[i], texts[j], chaining.LEAST):
+                assert any(r["doc_id"] == i and r["start_word"] <= begin and r["end_word"] >= begin + n for r in rows), (i, j, begin, n)
+
+
 def test_crowded_bands_are_done_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(probminhash, "FEW", 2)
     monkeypatch.setattr(probminhash, "BLOCK", 3)
