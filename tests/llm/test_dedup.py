@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusloom.llm import chaining, grace, probminhash
+from corpusloom.llm import words as words_module
 from corpusloom.llm.words import mixed, runs, shingles, spans, word_hashes
 
 DOC = "doc_id long, text string, row string, gid string, digest string, node string"
@@ -317,6 +318,76 @@ def test_chains_are_split_where_they_are_least_alike():
     assert chaining._split(chaining._straight(same), 0.8) == [(0, 85), (145, 205)]
 
 
+def test_gaps_are_aligned_together_as_they_are_alone():
+    rng = np.random.default_rng(5)
+    gaps = []
+    for k in range(1500):
+        few = (2, 6, 1000)[k % 3]
+        a = rng.integers(0, few, rng.integers(0, 45)).astype(np.int32)
+        b = a.tolist()
+        for at in rng.integers(0, len(a) + 1, rng.integers(0, 6)).tolist():
+            b[at : at + rng.integers(0, 3)] = rng.integers(0, few, rng.integers(0, 3)).tolist()
+        gaps.append((a, np.array(b, np.int32) if k % 5 else rng.integers(0, few, rng.integers(0, 45)).astype(np.int32)))
+    gaps.append((rng.integers(0, 9, 1200).astype(np.int32), rng.integers(0, 9, 1100).astype(np.int32)))  # more than CELLS
+    for (a, b), steps in zip(gaps, chaining.alignments(gaps)):
+        assert (chaining.STEPS[steps] == chaining.edited(a, b)).all()
+
+
+def test_a_batch_of_chains_needs_few_tables(monkeypatch):
+    """A table for each gap was most of the operator's time."""
+    rng = np.random.default_rng(6)
+    tables, plain = [], chaining._distances
+    monkeypatch.setattr(chaining, "_distances", lambda *a: tables.append(1) or plain(*a))
+    rows = []
+    for node in range(400):
+        a = rng.integers(0, 1 << 30, 90, dtype=np.int32)
+        b = np.concatenate([a[:39], a[40:43], rng.integers(0, 1 << 30, 3, dtype=np.int32), a[45:]])  # one dropped, two to three
+        rows.append({"node": node, "to_node": 1000 + node, "lo": 32, "to_lo": 64, "parts": [32, 64, 30, 32 + 60, 64 + 60, 30], "words": a.tolist(), "to_words": b.tolist()})
+    schema = pa.schema([("node", pa.int64()), ("to_node", pa.int64()), ("lo", pa.int32()), ("to_lo", pa.int32()), ("parts", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("to_words", pa.list_(pa.int32()))])
+    found = pa.Table.from_batches(chaining._align(50, 0.8)(pa.Table.from_pylist(rows, schema).to_batches()))
+    assert found.num_rows == 400 and set(found["start"].to_pylist()) == {32} and set(found["to_stop"].to_pylist()) == {64 + 90}
+    assert found["similarity"].to_pylist() == pytest.approx([87 / 90] * 400) and len(tables) < 40
+
+
+def test_slices_are_the_words_of_their_spans(monkeypatch):
+    rng = random.Random(6)
+    texts = [None, "", "x", " ".join(words(rng, 100)), " ".join(words(rng, 700)), "y" * 3000 + " z"]
+    asked = [[(0, 32)], [(0, 64)], [(0, 32), (32, 64)], [(0, 96), (64, 128), (96, 256)], [(32 * k, 32 * k + 320) for k in range(20)], [(0, 32)]]
+    batch = pa.RecordBatch.from_pylist([{"node": 7 * i, "asked": [{"lo": lo, "hi": hi} for lo, hi in spans_], "text": text} for i, (text, spans_) in enumerate(zip(texts, asked))], pa.schema([("node", pa.int64()), ("asked", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), ("text", pa.string())]))
+    expected = []
+    for i, (text, spans_) in enumerate(zip(texts, asked)):
+        own = [int(word_hashes(pa.array([w]))[0][0] >> np.uint64(33)) for w in (text or "").split()]
+        expected += [(7 * i, lo, hi, own[lo:hi]) for lo, hi in spans_]
+    for most in (chaining.SLICE_WORDS, 500):
+        monkeypatch.setattr(chaining, "SLICE_WORDS", most)
+        got = [tuple(r.values()) for b in chaining._slices([batch]) for r in b.to_pylist()]
+        assert got == expected
+
+
+@pytest.mark.parametrize("near", [1, 100, 1 << 15])
+def test_words_hash_alike_wherever_they_stand(monkeypatch, near):
+    monkeypatch.setattr(words_module, "NEAR", near)
+    rng = random.Random(near)
+    texts = [None, " ", "a", *(" ".join(["x" * rng.choice((1, 2, 9, 1023, 1024, 1025, 5000)) + str(rng.randrange(99)) for _ in range(rng.randrange(40))]) + rng.choice(("", "\n ")) for _ in range(12))]
+    hashes, counts = word_hashes(pa.array(texts))
+    assert counts.tolist() == [len((t or "").split()) for t in texts]
+    assert hashes.tolist() == [int(word_hashes(pa.array([" " + w]))[0][0]) for t in texts for w in (t or "").split()]
+
+
+def test_places_apart_are_in_order_whatever_order_they_come_in():
+    rng = np.random.default_rng(8)
+    h, context, node = (rng.integers(0, n, 4000) for n in (30, 3, 8))
+    pos = rng.permutation(4000)
+    order = np.lexsort((pos, node))
+    rows = [x[order] for x in (h, context, node, pos, rng.integers(20, 50, 4000))]
+    one = chaining._apart(*rows)
+    mixed_up = [x[np.arange(4000) * 1237 % 4000] for x in rows]
+    other = chaining._apart(*mixed_up)
+    keys = np.array([x[one] for x in rows[:4]])
+    assert (np.lexsort(keys[[3, 2, 1, 0]]) == np.arange(len(one))).all() and 0 < len(one) < 4000
+    assert (keys == np.array([x[other] for x in mixed_up[:4]])).all()
+
+
 def places_of(words_, piece):
     return [i for i in range(len(words_) - len(piece) + 1) if words_[i : i + len(piece)] == piece]
 
