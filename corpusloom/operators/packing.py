@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
-def with_offsets(rows: DataFrame, order: list[str], size: str, name: str = "offset") -> DataFrame:
+def with_offsets(rows: DataFrame, order: list[str | Column], size: str, name: str = "offset") -> DataFrame:
     """``rows`` with the sum of ``size`` over all rows before, in order of ``order`` (unique).
 
     In two levels, without one task for all: rows are ranged over tasks, summed in each, and the few sums of the tasks

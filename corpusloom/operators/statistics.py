@@ -128,6 +128,7 @@ def congruential_draws(per_text: DataFrame, by: list[str], resamples: int, a: in
 
     Returns the sums ``nll, chars`` of each group's draws; an equi-join on the place, never all pairs of texts.
     Places are reckoned in 64 bits, and slots are made ``SLOTS`` at once by all tasks, so that a group may have any number of texts.
+    Spark takes the exploded slots for as small as what they are made of, so they are merged, never broadcast.
     """
     spark = per_text.sparkSession
     sizes = per_text.groupBy(*by).agg(F.count("*").alias("n"))
@@ -135,7 +136,7 @@ def congruential_draws(per_text: DataFrame, by: list[str], resamples: int, a: in
     parts = parts.repartition(spark.sparkContext.defaultParallelism, *by, "draw", "begin")
     slots = parts.withColumn("slot", F.explode(F.sequence("begin", F.least(F.col("begin") + SLOTS, F.col("n")) - 1)))
     picked = slots.withColumn("pos", F.pmod(F.lit(a).cast("long") * F.col("draw") + (F.lit(b).cast("long") + F.col("draw")) * F.col("slot"), F.col("n"))).drop("begin", "slot")
-    return picked.join(per_text.withColumn("pos", F.col("pos").cast("long")), [*by, "pos"]).groupBy(*by, "draw").agg(F.sum("nll").alias("nll"), F.sum("chars").alias("chars"))
+    return picked.hint("merge").join(per_text.withColumn("pos", F.col("pos").cast("long")), [*by, "pos"]).groupBy(*by, "draw").agg(F.sum("nll").alias("nll"), F.sum("chars").alias("chars"))
 
 
 def overlap(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:

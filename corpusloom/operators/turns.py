@@ -82,6 +82,15 @@ def numbered(rows: DataFrame, pos: str, name: str = "place") -> DataFrame:
     return with_offsets(rows.withColumn("_one", F.lit(1)), [pos], "_one", name).drop("_one")
 
 
+def numbered_within(rows: DataFrame, by: str, pos: str, name: str = "place") -> DataFrame:
+    """Places from 0 in order of ``pos`` (null last) within each ``by``: those of all rows less the first of their group, so that a large group is no one task's."""
+    from .packing import with_offsets
+
+    placed = with_offsets(rows.withColumn("_one", F.lit(1)), [F.col(by), F.col(pos).asc_nulls_last()], "_one", name).drop("_one")
+    first = placed.groupBy(F.col(by).alias("_by")).agg(F.min(name).alias("_first"))
+    return placed.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, F.col(name) - F.col("_first")).drop("_by", "_first")
+
+
 def ready(turns: DataFrame, leaks: DataFrame, missing_start: str | None) -> DataFrame:
     """One row of what a run needs and ``ready``."""
     train, val = chosen(turns), chosen(turns, "val")

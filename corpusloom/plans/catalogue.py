@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -490,8 +490,7 @@ d AS (SELECT DISTINCT lang, n, draw FROM t, range({_DRAWS}) r(draw)), s AS (SELE
 SELECT lang, CAST(draw AS INTEGER) AS draw, round(sum(nll) / ln(2) / sum(chars), 6) AS bpc FROM k JOIN t USING (lang, p) GROUP BY lang, draw"""
 )
 def bootstrap_draws(spark, sf_dir):
-    w = Window.partitionBy("lang").orderBy("pos")
-    rows = per_text(spark, sf_dir).withColumn("pos", F.row_number().over(w) - 1)
+    rows = turns.numbered_within(per_text(spark, sf_dir).select("lang", "pos", "nll", "chars"), "lang", "pos").drop("pos").withColumnRenamed("place", "pos")
     sums = statistics.congruential_draws(rows, ["lang"], _DRAWS)
     return sums.groupBy("lang", "draw").agg(F.round(statistics.bits_per_character(F.col("nll"), F.col("chars")), 6).alias("bpc"))
 

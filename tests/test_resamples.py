@@ -1,5 +1,6 @@
 """The interval queries draw as often as the operator's rule says."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -27,6 +28,23 @@ def test_congruential_draws_of_a_group_whose_places_pass_32_bits(spark, monkeypa
     assert got == {d: (float(sum(p)), sum(p) + n) for d, p in enumerate(places)}
 
 
+def test_drawn_slots_are_never_broadcast(spark):
+    """Exploded slots look as small to Spark as the few rows that they are made of."""
+    rows = spark.range(3_000).selectExpr("'x' AS lang", "id AS pos", "double(id) AS nll", "id + 1 AS chars").repartition(3)
+    sums = statistics.congruential_draws(rows, ["lang"], 4)
+    assert [r["chars"] for r in sums.collect()] and "Broadcast" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bootstrap_draws_where_ids_and_languages_are_missing(spark, tmp_path):
+    rows = [(None if i == 7 else i * 37 % 100, None if i % 11 == 0 else "ab"[i % 3 == 0], "s", "x " * (1 + i % 5), 3 + i * i % 41) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalogue.QUERIES["bootstrap_draws"](spark, str(tmp_path)).collect()
+    want = con.sql(f"SELECT lang, draw, bpc FROM ({catalogue.ORACLE_SQL['bootstrap_draws']})").fetchall()
+    assert len(want) == 40 and sorted((r["lang"], r["draw"], r["bpc"]) for r in got) == sorted(want)
+
+
 def test_draws_in_parts_are_the_same(monkeypatch):
     rng = np.random.default_rng(1)
     nll, chars = rng.random((2, 30)), rng.integers(1, 50, (2, 30))
