@@ -533,6 +533,23 @@ def test_edited_copies_are_linked_to_each_other(spark, blocks):
     assert sum(got.get((100 * k + 91, 100 * k + 90), 0) >= 90 for k in range(30)) == 30
 
 
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_edited_copies_of_crowded_words_are_linked_to_each_other(spark, blocks):
+    """All runs of 5 words of a passage lie in more than ``FEW`` earlier texts, in pieces of 12 that are no passages."""
+    rng = random.Random(43)
+    texts = {}
+    for k in range(10):
+        p = words(rng, 100)
+        for j in range(chaining.FEW + 4):
+            pieces = [p[at : at + 12] for at in range(0, 96, 4)]
+            rng.shuffle(pieces)
+            texts[100 * k + j] = [w for piece in pieces for w in piece + words(rng, 20)]
+        edited = [w if at % 16 != 8 else "edit%d" % rng.randrange(10**6) for at, w in enumerate(p)]
+        texts[100 * k + 90], texts[100 * k + 91] = words(rng, 12) + p + words(rng, 12), words(rng, 7) + edited + words(rng, 16)
+    got = {(r["doc_id"], x): r["n_words"] for r in apart(spark, texts, blocks) for x in r["from_ids"]}
+    assert sum(got.get((100 * k + 91, 100 * k + 90), 0) >= 90 for k in range(10)) == 10
+
+
 @pytest.mark.parametrize("few", [0, 2, 16])
 @pytest.mark.parametrize("blocks", [1, 4])
 def test_every_run_of_least_words_is_in_a_passage(spark, few, blocks):
