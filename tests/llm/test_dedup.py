@@ -570,6 +570,45 @@ def test_every_run_of_least_words_is_in_a_passage(spark, few, blocks):
                 assert any(r["doc_id"] == i and r["start_word"] <= begin and r["end_word"] >= begin + n for r in rows), (i, j, begin, n)
 
 
+def test_rows_in_bytes_come_back_as_they_were(monkeypatch):
+    monkeypatch.setattr(chaining, "PACK", 700)
+    rng = np.random.default_rng(9)
+    sent, n = [], 0
+    for kind in (chaining.LINK, chaining.FIRST, chaining.PAIR, chaining.RUN, chaining.LINK):
+        types = [chaining.KINDS[kind].fields[c][0] for c in chaining.KINDS[kind].names]
+        columns = [rng.integers(np.iinfo(t).min, np.iinfo(t).max, 500, dtype=t, endpoint=True) for t in types]
+        columns[0][:300] = columns[0][0]  # of one bucket, in several batches
+        sent.append((kind, columns))
+    sent += [(chaining.RUN, [x[:0] for x in sent[3][1]])]
+    batches = list(chaining._packed(lambda batches: iter(batches), 8)(sent))
+    rows = pa.Table.from_batches(batches)
+    assert rows.num_rows < 100 and set(rows["bucket"].to_pylist()) == set(range(8))
+    got = list(chaining._unpacked(rows.sort_by([("bucket", "ascending"), ("kind", "ascending")]).to_batches(max_chunksize=3)))
+    assert len(got) == len(set(zip(rows["kind"].to_pylist(), rows["bucket"].to_pylist())))
+    listed = lambda rows: sorted((kind, *row) for kind, columns in rows for row in zip(*(c.tolist() for c in columns)))
+    assert listed(got) == listed(sent)
+    assert not list(chaining._packed(lambda batches: iter(batches), 8)([])) and not list(chaining._unpacked([]))
+
+
+def test_spark_sees_few_rows_for_many_places(spark, monkeypatch):
+    """A row of Spark's for each place and link was most of the operator's time."""
+    monkeypatch.setattr(chaining, "BUCKETS", (8, 8), raising=False)
+    counts, plain = {}, chaining.Tables.write
+
+    def counted(self, df, name, **options):
+        table = plain(self, df, name, **options)
+        counts[name] = table.count()
+        return table
+
+    monkeypatch.setattr(chaining.Tables, "write", counted)
+    rng = random.Random(44)
+    p = words(rng, 2000)
+    texts = {k: words(rng, 300) + p + words(rng, 300) for k in range(12)}
+    rows = apart(spark, texts, 2)
+    assert {(r["doc_id"], r["start_word"], r["n_words"]) for r in rows} == {(k, 300, 2000) for k in range(1, 12)}
+    assert counts["linked"] < 300 and "places" not in counts and "windows" not in counts  # 12 x 2,000 / 3.5 links
+
+
 def test_crowded_bands_are_done_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(probminhash, "FEW", 2)
     monkeypatch.setattr(probminhash, "BLOCK", 3)
