@@ -590,6 +590,28 @@ def test_rows_in_bytes_come_back_as_they_were(monkeypatch):
     assert not list(chaining._packed(lambda batches: iter(batches), 8)([])) and not list(chaining._unpacked([]))
 
 
+def test_fragments_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(10)
+    of = np.sort(rng.integers(0, 60, 3000))
+    pos = rng.integers(0, 300, 3000)
+    to, size = pos + rng.integers(-3, 4, 3000) * rng.integers(0, 2, 3000), rng.choice([5, 45, 50], 3000)
+    parts, pair = chaining._fragments(of, pos, to, size)
+    assert len(parts) == len(pair) > 200 and (np.diff(pair) >= 0).all()
+    for k in range(60):
+        assert [x for x, of_ in zip(parts, pair.tolist()) if of_ == k] == chaining.fragments(pos[of == k], to[of == k], size[of == k])
+        for p, t, n, worth in chaining.fragments(pos[of == k], to[of == k], size[of == k]):
+            links = (of == k) & (to - pos == t - p) & (pos >= p) & (pos + size <= p + n)
+            covered = len({w for a, m in zip(pos[links].tolist(), size[links].tolist()) for w in range(a, a + m)})
+            assert worth == pytest.approx(covered - 2 * chaining.GAP_COST * (n - covered))
+
+
+def test_chains_that_no_other_holds():
+    others = [[(0, 10, 20, 20.0), (30, 45, 10, 10.0)], [(100, 100, 50, 50.0)]]
+    held = [[(2, 12, 5, 5.0), (30, 45, 10, 10.0)], [(100, 100, 50, 50.0)], [(101, 101, 5, 5.0), (120, 120, 30, 30.0)]]
+    free = [[(2, 12, 5, 5.0), (110, 110, 5, 5.0)], [(2, 13, 5, 5.0)], [(99, 99, 5, 5.0)], [(140, 140, 11, 11.0)], [(2, 12, 19, 19.0)]]
+    assert chaining._not_held(held + free, others) == free and chaining._not_held(held, []) == held
+
+
 def test_spark_sees_few_rows_for_many_places(spark, monkeypatch):
     """A row of Spark's for each place and link was most of the operator's time."""
     monkeypatch.setattr(chaining, "BUCKETS", (8, 8), raising=False)
